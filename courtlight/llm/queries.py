@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary, chat, mixing, packing, rules
+from . import binary, chat, mixing, packing, rules, simhash
 from .common import WHITE, materialise, table, text_of
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -61,6 +61,10 @@ FROM said GROUP BY conv_id
 """
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = rules.ledger(table(spark, sf_dir, "documents"))
     base = ~rules.passes(rules.BASE)
@@ -106,6 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op3_bit_packing": op3_bit_packing,
     "op4_chat_formatting": op4_chat_formatting,
+    "op5_simhash": op5_simhash,
     "op7_quality_rules": op7_quality_rules,
     "op9_mixing": op9_mixing,
 }
