@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import binary, chat, hmm, langid, media, mixing, packing, rules, simhash, toxicity
@@ -106,16 +106,22 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fai
   (fail_bits & {rules.POLICY.mask | rules.BASE.mask}) = 0 AS kept, fail_bits FROM b
 """
 
-#: The domain of a document: a rule on its source's number, as the tables name none.
-DOMAIN = F.concat(F.lit("d"), F.coalesce(F.regexp_extract("source", r"(\d+)$", 1).try_cast("int"), F.lit(0)) % 4)
+def domain() -> Column:
+    """The domain of a document: a rule on its source's number, as the tables name none."""
+    return F.concat(F.lit("d"), F.coalesce(F.regexp_extract("source", r"(\d+)$", 1).try_cast("int"), F.lit(0)) % 4)
+
+
 WEIGHTS = {"domain": {"d0": 0.4, "d1": 0.3, "d2": 0.2, "d3": 0.1}, "lang": {"en": 0.4, "de": 0.25, "fr": 0.2, "es": 0.15}}
 PATH = ["domain", "lang", "source"]
-N_WORDS = F.regexp_count(text_of(), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
+
+
+def n_words() -> Column:
+    return F.regexp_count(text_of(), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").withColumn("domain", DOMAIN)
-    mixed = mixing.mix(docs, PATH, WEIGHTS, N_WORDS, total_share=0.8, epochs=2.0, seed=9)
+    docs = table(spark, sf_dir, "documents").withColumn("domain", domain())
+    mixed = mixing.mix(docs, PATH, WEIGHTS, n_words(), total_share=0.8, epochs=2.0, seed=9)
     return mixed.select("doc_id", *PATH, "leaf_budget", "copies")
 
 
