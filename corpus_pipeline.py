@@ -33,8 +33,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the target weights take, each once at most."""
-    tagged = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), "doc_id", "text", "lang", "source").withColumn("domain", queries.DOMAIN)
-    mixed = mixing.mix(tagged, queries.PATH, queries.WEIGHTS, queries.N_WORDS, total_share=0.8, epochs=1.0, seed=9)
+    tagged = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), "doc_id", "text", "lang", "source").withColumn("domain", queries.domain())
+    mixed = mixing.mix(tagged, queries.PATH, queries.WEIGHTS, queries.n_words(), total_share=0.8, epochs=1.0, seed=9)
     return mixing.repeated(mixed).select("__row.*")
 
 
