@@ -16,7 +16,8 @@ from courtlight.llm.common import materialise, table
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the current policy."""
-    judged = rules.ledger(docs, out="__ledger")
+    # the stored ledger: a filter on bits that are not written would be pushed below their steps and evaluate these anew
+    judged = materialise(rules.ledger(docs, out="__ledger"), "ledger")
     return judged.filter(rules.passes(rules.BASE, "__ledger.fail_bits") & rules.passes(rules.POLICY, "__ledger.fail_bits")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
