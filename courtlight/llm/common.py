@@ -63,7 +63,8 @@ def prefix_sums(df: DataFrame, group: list[str], order: list[Column], amount: st
     range is summed by a window of its own, and a table of group x range totals (at most `buckets` rows a group)
     gives where a range begins. `buckets` grows with the rows; it bounds nothing else.
     """
-    cut = F.floor(F.shiftrightunsigned(order[0], 1) / F.lit(2.0**63 / buckets)).cast("int")
+    # by the signed value, as windows and comparisons order it: the smallest long is in range 0
+    cut = F.floor((order[0].cast("double") + F.lit(2.0**63)) / F.lit(2.0**64 / buckets)).cast("int")
     cut = F.least(cut, F.lit(buckets - 1))
     ranged = df.withColumn("__cut", cut)
     totals = ranged.groupBy(*group, "__cut").agg(F.sum(amount).alias("__sum"))
