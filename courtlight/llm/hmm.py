@@ -22,10 +22,12 @@ from .common import fold, materialise, text_of
 STATES, CLASSES, SUFFIX = 8, 512, 3
 #: Words with a symbol of their own, and words whose counts every task holds, at most; the others meet theirs in a join.
 SYMBOL_WORDS, HELD_WORDS = 8_000, 120_000
-#: Training: rounds over one share of the documents to find the states, then one round over all of them.
-SHARES, FIRST_ROUNDS = 16, 6
-#: Texts are cut for training (not for scoring) where they have more tokens than this.
+#: Training: Baum-Welch rounds, each over all training documents.
+ROUNDS = 7
+#: Longer texts are trained on (not scored) in pieces of this many tokens, none left out.
 TRAIN_LENGTH = 1024
+#: Bytes of symbols that training and scoring work on at a time; training holds some hundred times as much in variables.
+TRAIN_BYTES, SCORE_BYTES = 1 << 19, 1 << 20
 #: Weight of the corpus distribution in each state's emissions, in tokens.
 PRIOR = 50.0
 #: The key of the end of a text in the table of counts; no word is empty.
@@ -241,7 +243,7 @@ def expected_counts(encoded: DataFrame, model: Hmm) -> tuple[np.ndarray, np.ndar
         m = shared.value
         total = np.zeros((size + states + 1, states))
         for whole in batches:
-            for batch in tokens.slices(whole, "symbols", 1 << 20):
+            for batch in tokens.slices(whole, "symbols", TRAIN_BYTES):
                 start, moves, emitted = Sequences(*_unpacked(batch, TRAIN_LENGTH)).expected(m)
                 total[:size] += emitted
                 total[size : size + states] += moves
@@ -263,13 +265,13 @@ def maximised(start: np.ndarray, moves: np.ndarray, emitted: np.ndarray, unigram
 
 
 def fit(encoded: DataFrame, vocab: Vocabulary, states: int = STATES) -> Hmm:
-    """Trained on the rows that are not held out: FIRST_ROUNDS over one share of them, then a round over all."""
+    """Trained on the rows that are not held out, all of them in each of ROUNDS rounds."""
     training = encoded.filter(~F.col("held_out"))
     unigram = vocab.unigram()
     model = first_model(unigram, states)
-    for _ in range(FIRST_ROUNDS):
-        model = maximised(*expected_counts(training.filter(F.pmod(F.xxhash64("row"), F.lit(SHARES)) == 0), model), unigram)
-    return maximised(*expected_counts(training, model), unigram)
+    for _ in range(ROUNDS):
+        model = maximised(*expected_counts(training, model), unigram)
+    return model
 
 
 def score(encoded: DataFrame, counts: DataFrame, vocab: Vocabulary, model: Hmm) -> DataFrame:
@@ -284,7 +286,7 @@ def score(encoded: DataFrame, counts: DataFrame, vocab: Vocabulary, model: Hmm)
         v, m = shared.value
         inside = np.concatenate([np.zeros(1 + v.n_symbols), np.log10(v.class_tokens + v.class_words + 1.0)])
         for whole in batches:
-            for batch in tokens.slices(whole, "symbols", 1 << 20):
+            for batch in tokens.slices(whole, "symbols", SCORE_BYTES):
                 symbols, lengths = _unpacked(batch)
                 sums = Sequences(symbols, lengths).log10_likelihood(m)
                 sums -= np.bincount(np.repeat(np.arange(len(lengths)), lengths), inside[symbols], len(lengths))
