@@ -212,6 +212,14 @@ def near_links(distinct: DataFrame, task_rows: int = TASK_ROWS) -> DataFrame:
     return links.unionByName(rows.groupBy("pair").applyInPandas(_links_in_pair, "a long, b long"))
 
 
+def _labelled(own: DataFrame, first: Column, task_rows: int = TASK_ROWS) -> DataFrame:
+    """fp, first and label (of its component) of each fingerprint of own (column fp, a written table)."""
+    classes = materialise(own.groupBy("fp").agg(first.alias("first")), "fingerprint-classes")
+    # the labels are long; a fingerprint that no link names is a component of its own
+    found = components(near_links(classes.select("fp"), task_rows), "a", "b")
+    return classes.join(found, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
+
+
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text", task_rows: int = TASK_ROWS) -> DataFrame:
     """One row a document: doc_id, fingerprint (16 hex digits), component_id, the smallest id reachable over links.
 
@@ -219,23 +227,23 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     own; a component of null ids only has a null component_id. An empty table gives no rows.
     """
     own = materialise(with_fingerprint(docs.select(F.col(id_column).alias("doc_id"), F.col(text).alias("text"))).select("doc_id", F.col("fingerprint").alias("fp")), "fingerprints")
-    classes = materialise(own.groupBy("fp").agg(F.min("doc_id").alias("first")), "fingerprint-classes")
-    # the labels are long; a fingerprint that no link names is a component of its own
-    found = components(near_links(classes.select("fp"), task_rows), "a", "b")
-    labelled = classes.join(found, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
+    labelled = _labelled(own, F.min("doc_id"), task_rows)
     firsts = labelled.groupBy(F.col("label").alias("l")).agg(F.min("first").alias("component_id"))
     ids = labelled.join(firsts, F.col("label") == F.col("l")).select(F.col("fp").alias("fp2"), "component_id")
     return own.join(ids, F.col("fp") == F.col("fp2")).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without near-duplicates: of each component the row of the smallest id stays, once.
+    """docs without near-duplicates: of each component the row of the smallest id stays, once, null ids last.
 
-    Of rows that share that id the one with the smallest hash of its text stays; of equal rows one.
+    Of rows that share that id the one with the smallest hash of its text stays; of rows of equal id and text one.
+    Components are of texts: rows that share an id, or have none, but not a component do not stand for each other.
     """
-    found = near_duplicates(docs, id_column, text)
-    # null ids: a component of null ids only keeps its null rows' first text
-    own = docs.withColumns({"__id": F.coalesce(F.col(id_column).cast("string"), F.lit("")), "__tie": F.xxhash64(text_of(text))})
-    kept = found.groupBy(F.coalesce(F.col("component_id").cast("string"), F.lit("")).alias("__kept")).agg(F.lit(1).alias("__n")).select("__kept")
-    chosen = own.select("__id", "__tie").join(kept, F.col("__id") == F.col("__kept"), "left_semi").groupBy("__id").agg(F.min("__tie").alias("__tie"))
-    return own.join(chosen, ["__id", "__tie"], "left_semi").dropDuplicates(["__id", "__tie"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    tie = F.md5(text_of(text).cast("binary"))
+    own = with_fingerprint(docs.select(F.col(id_column).alias("doc_id"), F.col(text).alias("text"), tie.alias("tie")))
+    narrow = materialise(own.select("doc_id", "tie", F.col("fingerprint").alias("fp")), "fingerprints")
+    labelled = _labelled(narrow, F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")))
+    chosen = materialise(labelled.groupBy("label").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("__kept_id"), F.col("first.tie").alias("__kept_tie")), "kept")
+    keyed = docs.withColumns({"__id": F.col(id_column), "__tie": tie})
+    kept = keyed.join(chosen, F.col("__id").eqNullSafe(F.col("__kept_id")) & (F.col("__tie") == F.col("__kept_tie")), "left_semi")
+    return kept.dropDuplicates(["__id", "__tie"]).select(*[F.col(f"`{c}`") for c in docs.columns])
