@@ -1,18 +1,20 @@
 """Toxicity by compression distance: two zstandard dictionaries, one trained on toxic and one on ordinary text.
 
-A window is one word and a frame of fixed bytes behind it (the frame lifts a window over the smallest block that
-zstandard compresses, and makes a whole word one match). Its distance is the bytes that it takes with the ordinary dictionary less the
-bytes it takes with the toxic one. How often each distance occurs in documents of either label, in a fold that the
-dictionaries have not seen, gives each distance its weight; a document's sum of weights becomes a probability.
+A window is one word between spaces. Its distance is the bytes that it takes with the ordinary dictionary less the bytes
+it takes with the toxic one. A document labelled toxic is mostly ordinary text, so its toxic windows are found first: a
+dictionary trained on all windows of toxic documents tells, by its distance from the ordinary one, which of them are
+toxic, and the toxic dictionary is trained on these. How often each distance occurs in documents of either label, in a
+fold that no dictionary has seen, gives the size of the toxic dictionary, the threshold of a window's distance, its
+weight, and the threshold of a document's evidence.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
@@ -20,25 +22,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import fold, text_of
+from .common import fold, materialise, text_of
 
-#: Labelled documents of each label used for fitting, at most: the smallest hashes of their ids.
+#: Labelled documents of each label used for fitting, about, at most: those with the smallest hashes of their ids.
 FIT_TOXIC, FIT_ORDINARY = 8_000, 16_000
-#: Different windows of each kind that dictionaries are trained on, at most: the heaviest.
-TRAIN_WINDOWS = 8_000
-TOXIC_BYTES, ORDINARY_BYTES = 12 << 10, 64 << 10
-#: Bytes of a window that a dictionary holds, at most.
-MOST_BYTES = 64
+#: Windows that a dictionary is trained on, about, at most, and the bytes of the longest of them.
+TRAIN_WINDOWS, TRAIN_BYTES = 400_000, 64
+#: Bytes of the ordinary dictionary (a quarter of its windows, at most) and of the first toxic one.
+ORDINARY_BYTES, FIRST_BYTES = 1 << 20, 64 << 10
+#: Bytes of the toxic dictionary, and distances from which on a window counts: calibration chooses.
+TOXIC_BYTES, CUTS = (8 << 10, 16 << 10, 32 << 10), (1, 2, 3, 4, 5)
+#: A window of a toxic document is toxic from this distance of the first dictionaries on.
+TOXIC_FROM = 2
+#: The trainer's segments and what it compares: of the length of words.
+SEGMENT, PART = 16, 6
+LEVEL = 19
+#: Behind every window, in training as in scoring: zstandard stores blocks of a dozen bytes as they stand.
 FRAME = bytes(range(1, 14))
-#: What is cut from both ends of a word.
-MARKS = ".,;:!?#*$%&|<>\"'()[]{}-_"
 #: Distances are kept between these; more extreme ones count as the nearest.
-LOW, HIGH = -4, 27
+LOW, HIGH = -8, 12
 LEVELS = HIGH - LOW + 1
-#: A toxic window's share of toxic documents must be this many times its share of ordinary ones.
-LIFT = 4.0
-#: ... in at least so many contexts, more than that share of ordinary ones by so many standard deviations.
-LEAST, CLEAR = 6, 2.4
+#: Ordinary documents of the calibration fold that the threshold may flag, as a share.
+ALARMS = 0.03
 #: Windows that a worker remembers; when it has more it starts anew. Only speed depends on it.
 REMEMBERED = 600_000
 
@@ -48,168 +53,202 @@ class Model:
     toxic: bytes
     ordinary: bytes
     weights: np.ndarray
+    usual: float
     slope: float
-    intercept: float
+    threshold: float
 
 
 def windows(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """All words of texts, lower-cased (A-Z), without marks at their ends, and the place of each word's text."""
+    """All words of texts, lower-cased (A-Z), and the place of each word's text."""
     cut = pc.ascii_split_whitespace(pc.ascii_lower(texts))
-    flat, row = pc.ascii_trim(cut.flatten(), MARKS), np.repeat(np.arange(len(texts)), np.diff(cut.offsets.to_numpy()))
+    flat, row = cut.flatten(), np.repeat(np.arange(len(texts)), np.diff(cut.offsets.to_numpy()))
     some = pc.greater(pc.binary_length(flat), 0)
-    return flat.filter(some), row[some.to_numpy(zero_copy_only=False)]
+    return flat.filter(some).cast(pa.binary()), row[some.to_numpy(zero_copy_only=False)]
+
+
+def framed(word: bytes) -> bytes:
+    return b" " + word + b" " + FRAME
 
 
 def _compressor(content: bytes) -> zstandard.ZstdCompressor:
-    params = zstandard.ZstdCompressionParameters(window_log=18, chain_log=15, hash_log=16, search_log=4, min_match=4, target_length=16, strategy=zstandard.STRATEGY_LAZY2, write_checksum=False, write_dict_id=False)
-    return zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=params)
+    params = zstandard.ZstdCompressionParameters.from_level(LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False)
+    return zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(content), compression_params=params)
 
 
 class Distances:
-    """Distances of windows. The toxic compressor has the ordinary dictionary too, behind its own."""
+    """Distances of windows between two dictionaries."""
 
     def __init__(self, toxic: bytes, ordinary: bytes):
-        self.with_toxic, self.plain = _compressor(toxic + ordinary), _compressor(ordinary)
+        self.toxic, self.ordinary = _compressor(toxic), _compressor(ordinary)
         self.memory: dict[bytes, int] = {}
 
     def of(self, words: list[bytes]) -> np.ndarray:
-        """The distances' levels (0 is LOW) of different words."""
+        """The distances of different words."""
         if len(self.memory) > REMEMBERED:
             self.memory = {}
         new = [w for w in words if w not in self.memory]
         for at in range(0, len(new), 10_000):
-            framed = [w + FRAME for w in new[at : at + 10_000]]
-            a, b = self.plain.multi_compress_to_buffer(framed, threads=0), self.with_toxic.multi_compress_to_buffer(framed, threads=0)
-            far = np.array([len(a[i]) - len(b[i]) for i in range(len(framed))])
-            self.memory.update(zip(new[at : at + 10_000], (np.clip(far, LOW, HIGH) - LOW).tolist(), strict=True))
+            part = [framed(w) for w in new[at : at + 10_000]]
+            a, b = self.ordinary.multi_compress_to_buffer(part, threads=0), self.toxic.multi_compress_to_buffer(part, threads=0)
+            far = np.array([len(a[i]) - len(b[i]) for i in range(len(part))])
+            self.memory.update(zip(new[at : at + 10_000], np.clip(far, LOW, HIGH).tolist(), strict=True))
         return np.fromiter(map(self.memory.__getitem__, words), np.int64, len(words))
 
     def histograms(self, texts: pa.Array) -> np.ndarray:
         """For each text, how many of its windows have each distance."""
         flat, row = windows(texts)
-        coded = flat.cast(pa.binary()).dictionary_encode()
-        level = self.of(coded.dictionary.to_pylist())[coded.indices.to_numpy()] if len(flat) else np.zeros(0, np.int64)
+        coded = flat.dictionary_encode()
+        level = self.of(coded.dictionary.to_pylist())[coded.indices.to_numpy()] - LOW if len(flat) else np.zeros(0, np.int64)
         return np.bincount(row * LEVELS + level, minlength=len(texts) * LEVELS).reshape(-1, LEVELS)
 
 
 def _labelled(docs: DataFrame, labels: DataFrame, id_column: str, text: str, id_in_labels: str, toxic: str, keep: int) -> DataFrame:
-    """Texts of a bounded sample of the labelled documents outside the held-out fold, and whether they calibrate.
+    """Different texts of a bounded sample of the labelled documents outside the held-out fold; a written table.
 
-    The sample has FIT_TOXIC + FIT_ORDINARY ids at most, so it is broadcast and no text is shuffled.
+    Ids are taken whose hash is below a share that gives about FIT_TOXIC and FIT_ORDINARY of them, so the ids can be
+    broadcast and only these texts are shuffled.
     """
     known = labels.select(F.col(id_in_labels).cast("string").alias("__id"), F.col(toxic).cast("int").alias("toxic")).filter((F.crc32(F.col("__id").cast("binary")) % keep != 0) & F.col("toxic").isin(0, 1)).groupBy("__id").agg(F.max("toxic").alias("toxic"))
-    part = lambda value, n: known.filter(F.col("toxic") == value).orderBy(F.xxhash64("__id"), "__id").limit(n)
-    sample = part(1, FIT_TOXIC).unionByName(part(0, FIT_ORDINARY))
+    sizes = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    place = F.shiftrightunsigned(F.xxhash64("__id"), 1).cast("double") / 2.0**63
+    share = F.when(F.col("toxic") == 1, F.lit(FIT_TOXIC / max(1, sizes.get(1, 0)))).otherwise(F.lit(FIT_ORDINARY / max(1, sizes.get(0, 0))))
     own = docs.select(F.col(id_column).cast("string").alias("id"), text_of(text).alias("text"))
-    return own.join(F.broadcast(sample), F.col("id") == F.col("__id")).select("text", "toxic", (fold("id", keep) == 1).alias("calibrates"))
+    # some 24,000 ids
+    sample = own.join(F.broadcast(known.filter(place < share)), F.col("id") == F.col("__id"))
+    # the fold that calibrates is kept out of the dictionaries
+    return materialise(sample.groupBy("text").agg(F.max("toxic").alias("toxic"), F.max(fold("id", keep) == 1).alias("calibrates")), "toxicity-sample")
 
 
 def _count_windows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each word, a hash of the word before it, and whether toxic or ordinary texts have it there."""
+    """Each window, and how many toxic and ordinary texts have it; long ones are left out of training."""
     for whole in batches:
         for batch in tokens.slices(whole, "text"):
             flat, row = windows(batch["text"])
             if not len(flat):
                 continue
             coded = flat.dictionary_encode()
-            word, names = coded.indices.to_numpy().astype(np.int64), coded.dictionary
-            before = np.where(np.diff(row, prepend=-1) != 0, len(names), np.roll(word, 1))
-            toxic = batch["toxic"].to_numpy(zero_copy_only=False)[row] == 1
-            found = np.unique((word * (len(names) + 1) + before) * 2 + toxic)
-            crc = np.array([zlib.crc32(x.encode()) for x in names.to_pylist()] + [0], np.int64)
-            word, before = np.divmod(found // 2, len(names) + 1)
-            yield pa.RecordBatch.from_arrays([names.take(pa.array(word)), pa.array(crc[before]), pa.array(found % 2), pa.array(1 - found % 2)], ["word", "before", "toxic", "ordinary"])
+            names = coded.dictionary
+            found = np.unique(coded.indices.to_numpy().astype(np.int64) * batch.num_rows + row)
+            toxic = batch["toxic"].to_numpy(zero_copy_only=False)[found % batch.num_rows] == 1
+            n = [np.bincount(found[own] // batch.num_rows, minlength=len(names)) for own in (toxic, ~toxic)]
+            short = pc.less_equal(pc.binary_length(names), TRAIN_BYTES)
+            yield pa.RecordBatch.from_arrays([names, pa.array(n[0], pa.int64()), pa.array(n[1], pa.int64())], ["word", "toxic", "ordinary"]).filter(short)
+
+
+def _training(counted: DataFrame, n: str, most: int) -> list[bytes]:
+    """About `most` windows, each as often as its share of the counts `n` says; fractions are settled by its hash."""
+    total = counted.agg(F.coalesce(F.sum(n), F.lit(0)).alias("n")).first()["n"]
+    luck = F.shiftrightunsigned(F.xxhash64("word"), 1).cast("double") / 2.0**63
+    copies = F.floor(F.col(n) * F.lit(min(1.0, most / max(1, total))) + luck)
+    rows = counted.filter(F.col(n) > 0).select("word", copies.alias("copies")).filter("copies > 0").toArrow().sort_by("word")
+    words = np.repeat(np.array([framed(w) for w in rows["word"].to_pylist()] or [b""], object)[: rows.num_rows], rows["copies"].to_numpy().astype(np.int64))
+    # the trainer takes samples in order, and neighbours in order of their bytes are much alike
+    return words[np.random.default_rng(2).permutation(len(words))].tolist()
+
+
+def dictionary(samples: list[bytes], size: int) -> bytes:
+    """A trained dictionary. Samples too few or too small for zstandard's trainer are its content as they stand."""
+    try:
+        return zstandard.train_dictionary(size, samples, k=SEGMENT, d=PART).as_bytes()
+    except zstandard.ZstdError:
+        return (b"".join(samples) + FRAME)[-max(size, len(FRAME)) :]
+
+
+def _slope(x: np.ndarray, toxic: np.ndarray) -> float:
+    """Slope of a logistic curve of x, by Newton's method with a little ridge; both labels weigh the same."""
+    each = np.where(toxic == 1, 0.5 / max(1, (toxic == 1).sum()), 0.5 / max(1, (toxic == 0).sum())) * len(toxic)
+    rows, w = np.stack([x, np.ones_like(x)], 1), np.zeros(2)
+    for _ in range(40):
+        p = 1 / (1 + np.exp(-np.clip(rows @ w, -30, 30)))
+        h = (rows * (each * p * (1 - p))[:, None]).T @ rows + 1e-2 * np.eye(2)
+        w = w - np.clip(np.linalg.solve(h, rows.T @ (each * (p - toxic)) + 1e-2 * w), -2, 2)
+    return max(float(w[0]), 1e-3)
+
+
+def evidence(found: np.ndarray, weights: np.ndarray, usual: float) -> np.ndarray:
+    """Sum of the weights of a text's windows, less what so many windows of an ordinary text would let one expect."""
+    return found @ weights - usual * found.sum(axis=1)
 
 
-def _dictionary(size: int, rows: list) -> bytes:
-    """The content of a dictionary: the heaviest windows that it has room for, the heaviest last, where they are cheapest.
+def calibrated(found: np.ndarray, toxic: np.ndarray, cut: int) -> tuple[np.ndarray, float, float, float, float]:
+    """Weights, usual, slope, threshold and recall, from a row of window counts and a label each document.
 
-    zstandard's own trainer is made for samples that overlap; it cuts framed words apart, so windows are laid out whole.
+    Windows count from distance `cut` on. The threshold is the lowest evidence that flags at most ALARMS of the ordinary
+    documents; it is above zero, so a text without windows is never flagged.
     """
-    parts, left = [], size
-    for r in rows:
-        part = r["word"].encode()[:MOST_BYTES] + FRAME
-        left -= len(part)
-        if left < 0:
-            break
-        parts.append(part)
-    return b"".join(parts[::-1]) or FRAME
-
-
-def _probability(sums: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
-    """Slope and intercept of a logistic curve, by Newton's method with a little ridge."""
-    x, y, w = np.stack([sums, np.ones_like(sums)], 1), toxic.astype(float), np.zeros(2)
-    for _ in range(40):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2)
-        w = w - np.clip(np.linalg.solve(h, x.T @ (p - y) + 1e-3 * w), -2, 2)
-    return float(w[0]), float(w[1])
+    of = [found[toxic == v].sum(axis=0) for v in (0, 1)]
+    share = [(n + 0.5) / (n.sum() + 0.5 * LEVELS) for n in of]
+    counts = np.arange(LEVELS) + LOW >= cut
+    weights = np.where(counts, np.maximum(0.0, np.log(share[1] / share[0])), 0.0)
+    usual = max(0.0, float((share[1] - share[0])[counts].sum()))
+    x = evidence(found, weights, usual)
+    ordinary = np.sort(x[toxic == 0])
+    threshold = max(1e-3, float(np.nextafter(ordinary[len(ordinary) - 1 - int(ALARMS * len(ordinary))], np.inf)))
+    return weights, usual, _slope(x, toxic), threshold, float((x[toxic == 1] >= threshold).mean())
 
 
 def fit(docs: DataFrame, labels: DataFrame, keep: int = 5, id_column: str = "doc_id", text: str = "text", id_in_labels: str = "doc_id", toxic: str = "toxic") -> Model:
     """A model from the labelled rows whose crc32(id as text) mod `keep` is not 0, of those the bounded sample.
 
-    Rows without a label, or of another label than 0 and 1, teach nothing; an id labelled both ways counts as toxic.
-    Without any toxic or any ordinary document every score is the share of toxic ones (0.5 without both... no rows).
+    Rows without a label, or of another label than 0 and 1, teach nothing; an id or text labelled both ways counts as
+    toxic, and equal texts count once. Samples are chosen by hashes of ids and windows, so neither order nor ties matter.
+    Where the calibration fold lacks a label, all scores are the share of toxic documents in it, at most just below one
+    half, and 0 if it is empty. What reaches the driver is bounded by the constants above.
     """
     sample = _labelled(docs, labels, id_column, text, id_in_labels, toxic, keep)
-    # the fold that calibrates is kept out of the dictionaries
-    # counts are of contexts, so that copies of a text count once
-    contexts = sample.filter(~F.col("calibrates")).select("text", "toxic").mapInArrow(_count_windows, "word string, before long, toxic long, ordinary long").groupBy("word", "before").agg(F.max("toxic").alias("toxic"), F.max("ordinary").alias("ordinary"))
-    counted = contexts.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
-    sizes = {r["toxic"]: r["n"] for r in sample.filter(~F.col("calibrates")).groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    share = sizes.get(1, 0) / max(1, sizes.get(0, 0))
-    counted = counted.withColumn("excess", F.col("toxic") - F.lit(LIFT * share) * F.col("ordinary")).persist()
-    heavy = counted.filter(f"toxic >= {LEAST} AND excess >= {CLEAR} * sqrt(toxic)").orderBy(F.desc("excess"), "word").limit(TRAIN_WINDOWS).collect()
-    usual = counted.filter("ordinary > 0").orderBy(F.desc("ordinary"), "word").limit(TRAIN_WINDOWS).collect()
-    counted.unpersist()
-    toxic_dictionary = _dictionary(TOXIC_BYTES, heavy)
-    ordinary_dictionary = _dictionary(ORDINARY_BYTES, usual)
+    shape = "word binary, toxic long, ordinary long"
+    counted = materialise(sample.filter(~F.col("calibrates")).select("text", "toxic").mapInArrow(_count_windows, shape).groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")), "toxicity-windows")
+    usual = _training(counted, "ordinary", TRAIN_WINDOWS)
+    ordinary = dictionary(usual, min(ORDINARY_BYTES, max(4096, sum(map(len, usual)) // 4)))
+    first = dictionary(_training(counted, "toxic", TRAIN_WINDOWS), FIRST_BYTES)
+
+    def toxic_windows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        distances = Distances(first, ordinary)
+        for batch in batches:
+            yield batch.filter(pa.array(distances.of(batch["word"].to_pylist()) >= TOXIC_FROM))
+
+    found = materialise(counted.filter("toxic > 0").mapInArrow(toxic_windows, shape), "toxicity-found")
+    samples = _training(found, "toxic", TRAIN_WINDOWS // 4)
+    kinds = [dictionary(samples, size) for size in TOXIC_BYTES]
 
     def measure(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        distances = Distances(toxic_dictionary, ordinary_dictionary)
+        distances = [Distances(content, ordinary) for content in kinds]
         for whole in batches:
             for batch in tokens.slices(whole, "text"):
-                yield pa.RecordBatch.from_arrays([batch["toxic"], pa.array(list(distances.histograms(batch["text"])), pa.list_(pa.int64()))], ["toxic", "found"])
+                rows = np.concatenate([d.histograms(batch["text"]) for d in distances], axis=1)
+                yield pa.RecordBatch.from_arrays([batch["toxic"], pa.array(list(rows), pa.list_(pa.int64()))], ["toxic", "found"])
 
     rows = sample.filter("calibrates").select("text", "toxic").mapInArrow(measure, "toxic int, found array<long>").toPandas()
     if rows["toxic"].nunique() < 2:
-        rate = sum(rows["toxic"]) / max(1, len(rows))
-        return Model(toxic_dictionary, ordinary_dictionary, np.zeros(LEVELS), 0.0, float(np.log((rate + 1e-3) / (1 - rate + 1e-3))))
-    found, y = np.stack(rows["found"]), rows["toxic"].to_numpy()
-    of = [found[y == v].sum(axis=0) for v in (0, 1)]
-    weights = np.log((of[1] + 0.5) / (of[1].sum() + 0.5 * LEVELS)) - np.log((of[0] + 0.5) / (of[0].sum() + 0.5 * LEVELS))
-    # a threshold: only distances that speak clearly for toxic text count, the further the more
-    weights = np.where((np.arange(LEVELS) + LOW >= 2) & (weights > 1.5), np.maximum.accumulate(weights), 0.0)
-    slope, intercept = _probability(_sums(found, weights), y)
-    return Model(toxic_dictionary, ordinary_dictionary, weights, slope, intercept)
-
-
-def _sums(found: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """Sum of weights, less and less for more of the same: a long document needs more than chance to stand out."""
-    return np.log1p(found @ weights)
+        rate = min(0.499, sum(rows["toxic"]) / max(1, len(rows)))
+        return Model(FRAME, FRAME, np.zeros(LEVELS), 0.0, 1.0, float(-np.log(max(rate, 1e-9) / (1 - rate))))
+    counts, y = np.stack(rows["found"]).reshape(len(rows), len(kinds), LEVELS), rows["toxic"].to_numpy()
+    fits = [(calibrated(counts[:, i], y, cut), content) for i, content in enumerate(kinds) for cut in CUTS]
+    (weights, each, slope, threshold, _), content = max(fits, key=lambda x: x[0][-1])
+    return Model(content, ordinary, weights, each, slope, threshold)
 
 
 _DISTANCES: dict[int, Distances] = {}
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "toxicity") -> DataFrame:
-    """docs and a double column `out`, 0 to 1, which replaces one of that name. Null texts count as empty.
+    """docs and a double column `out`, 0 to 1, which replaces one of that name; one half is the calibrated threshold.
 
-    A score depends on the text alone, so equal texts have equal scores; columns of docs may have any names.
+    Null texts count as empty and are not flagged. A score depends on the text alone, so equal texts have equal scores;
+    other columns of docs may have any names. An empty table gives an empty one.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
-    def toxicity(texts):
+    def toxicity(texts: pd.Series) -> pd.Series:
         own = shared.value
         key = hash((own.toxic, own.ordinary))
         if key not in _DISTANCES:
             _DISTANCES.clear()
             _DISTANCES[key] = Distances(own.toxic, own.ordinary)
         batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])
-        parts = [_sums(_DISTANCES[key].histograms(x["text"]), own.weights) for x in tokens.slices(batch, "text")]
-        sums = np.concatenate(parts) if parts else np.zeros(0)
-        return texts.__class__(1 / (1 + np.exp(-np.clip(own.slope * sums + own.intercept, -30, 30))))
+        parts = [evidence(_DISTANCES[key].histograms(x["text"]), own.weights, own.usual) for x in tokens.slices(batch, "text")]
+        x = np.concatenate(parts) if parts else np.zeros(0)
+        return pd.Series(1 / (1 + np.exp(-np.clip(own.slope * (x - own.threshold), -30, 30))))
 
     return docs.withColumn(out, toxicity(text_of(text)))
