@@ -24,10 +24,10 @@ STATES, CLASSES, SUFFIX = 8, 512, 3
 SYMBOL_WORDS, HELD_WORDS = 8_000, 120_000
 #: Training: Baum-Welch rounds, each over all training documents.
 ROUNDS = 7
-#: Longer texts are trained on (not scored) in pieces of this many tokens, none left out.
-TRAIN_LENGTH = 1024
-#: Bytes of symbols that training and scoring work on at a time; training holds some hundred times as much in variables.
-TRAIN_BYTES, SCORE_BYTES = 1 << 19, 1 << 20
+#: Symbols of a chunk and of a block: the variables of a block are held at a time, some 30 MB.
+CHUNK, BLOCK = 64, 1 << 16
+#: Bytes of symbols that become chunks together, or one text's.
+SLICE_BYTES = 1 << 19
 #: Weight of the corpus distribution in each state's emissions, in tokens.
 PRIOR = 50.0
 #: The key of the end of a text in the table of counts; no word is empty.
@@ -86,8 +86,14 @@ class Vocabulary:
 
 
 def vocabulary(counts: DataFrame, symbol_words: int = SYMBOL_WORDS, held_words: int = HELD_WORDS) -> Vocabulary:
-    """The frequent words of a table of counts (ties: by word), a bounded number, and sums of the rest by class."""
-    top = counts.filter(F.col("word") != END).orderBy(F.desc("c"), "word").limit(held_words).toArrow()
+    """The frequent words of a table of counts (ties: by word), `held_words` at most, and sums of the rest by class."""
+    # counts in steps of a fortieth of a power of ten: the lowest step above which no more than `held_words` words stand
+    step = F.floor(F.log10("c") * 40)
+    steps = sorted(((r["step"], r["n"]) for r in counts.filter(F.col("word") != END).groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect()), reverse=True)
+    above = np.cumsum([n for _, n in steps])
+    lowest = next((k for (k, _), n in zip(steps[::-1], above[::-1], strict=True) if n <= held_words), None)
+    kept = counts.filter((F.col("word") != END) & (step >= lowest)) if lowest is not None else counts.limit(0)
+    top = kept.toArrow().sort_by([("c", "descending"), ("word", "ascending")])
     held = top["word"].combine_chunks().cast(pa.string()) if top.num_rows else pa.array([], pa.string())
     own = top["c"].to_numpy().astype(np.int64) if top.num_rows else np.zeros(0, np.int64)
     n = min(symbol_words, len(own))
@@ -169,69 +175,125 @@ def first_model(unigram: np.ndarray, states: int = STATES, seed: int = 8) -> Hmm
 
 
 class Sequences:
-    """Sequences of symbols side by side: the tokens of one time stand together, longest sequence first."""
+    """Texts as chunks of symbols side by side: the tokens of one time stand together, longest chunk first.
+
+    A text is cut into chunks of CHUNK symbols, but nothing is cut off: what the forward variables are before a chunk, and
+    the backward ones behind it, follows exactly from the products of the chunks' transition matrices. So the steps of
+    a pass are CHUNK, however long the texts, and a pass works on BLOCK symbols at a time.
+    """
 
     def __init__(self, symbols: np.ndarray, lengths: np.ndarray):
-        self.order = np.argsort(-lengths, kind="stable")
-        ordered = lengths[self.order]
-        longest = int(ordered[0]) if len(ordered) else 0
-        self.active = np.searchsorted(-ordered, -np.arange(longest), side="left")
-        self.offsets = np.concatenate([[0], np.cumsum(self.active)])
-        time = np.arange(len(symbols)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        rank = np.empty(len(lengths), np.int64)
-        rank[self.order] = np.arange(len(lengths))
-        self.rank = np.repeat(rank, lengths)
-        self.symbols = np.empty(len(symbols), np.int64)
-        self.symbols[self.offsets[time] + self.rank] = symbols
-
-    def forward(self, m: Hmm) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Scaled forward variables, scales and emissions of all tokens; the product of scales is the likelihood."""
-        emit = m.emit[self.symbols]
-        alpha, scale = np.empty_like(emit), np.empty(len(emit))
-        now = None
-        for a, b in zip(self.offsets[:-1], self.offsets[1:], strict=True):
-            now = (m.start if now is None else now[: b - a] @ m.move) * emit[a:b]
-            scale[a:b] = s = now.sum(axis=1)
-            now = now / s[:, None]
-            alpha[a:b] = now
-        return alpha, scale, emit
+        self.lengths, self.symbols = lengths, symbols
+        self.each = -(-lengths // CHUNK)
+        self.text = np.repeat(np.arange(len(lengths)), self.each)
+        self.first = np.cumsum(self.each) - self.each
+        self.place = np.arange(len(self.text)) - self.first[self.text]
+        self.begin = (np.cumsum(lengths) - lengths)[self.text] + self.place * CHUNK
+        self.size = np.minimum(lengths[self.text] - self.place * CHUNK, CHUNK)
+        self.order = np.argsort(-self.size, kind="stable")
+
+    def _blocks(self, chunks: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Chunks (longest first) of about BLOCK symbols, where each time's tokens begin, and the symbols in that order."""
+        for at in range(0, len(chunks), BLOCK // CHUNK):
+            own = chunks[at : at + BLOCK // CHUNK]
+            size = self.size[own]
+            active = np.searchsorted(-size, -np.arange(int(size[0])), side="left")
+            offsets = np.concatenate([[0], np.cumsum(active)])
+            time = np.repeat(np.arange(len(active)), active)
+            yield own, offsets, self.symbols[self.begin[own[np.arange(offsets[-1]) - offsets[time]]] + time]
+
+    def edges(self, m: Hmm) -> tuple[np.ndarray, np.ndarray]:
+        """The states' distribution before each chunk's first symbol, and the backward variables at its last."""
+        n, states = len(self.text), len(m.start)
+        before, behind = np.tile(m.start, (n, 1)), np.ones((n, states))
+        long = self.each[self.text] > 1
+        if not long.any():
+            return before, behind
+        slot = np.cumsum(long) - 1
+        product = np.empty((int(long.sum()), states, states))
+        for own, offsets, symbols in self._blocks(self.order[long[self.order]]):
+            emit = m.emit[symbols]
+            emit /= emit.max(axis=1, keepdims=True)
+            now = emit[: offsets[1], None, :] * np.eye(states)
+            for time, (a, b) in enumerate(zip(offsets[1:-1], offsets[2:], strict=True), 1):
+                k = b - a
+                if k < len(now):
+                    product[slot[own[k : len(now)]]] = now[k:]
+                    now = now[:k]
+                now = (now.reshape(-1, states) @ m.move).reshape(k, states, states) * emit[a:b, None, :]
+                if not time % 16:
+                    now /= now.max(axis=(1, 2), keepdims=True)
+            product[slot[own[: len(now)]]] = now
+        product /= product.max(axis=(1, 2), keepdims=True)
+        most = int(self.each.max())
+        for k in range(1, most):
+            c = self.first[self.each > k] + k
+            x = np.einsum("cs,cst->ct", before[c - 1], product[slot[c - 1]])
+            before[c] = (x / x.sum(axis=1, keepdims=True)) @ m.move
+        for k in range(most - 1, 0, -1):
+            c = self.first[self.each > k] + k
+            x = np.einsum("cst,ct->cs", product[slot[c]], behind[c]) @ m.move.T
+            behind[c - 1] = x / x.max(axis=1, keepdims=True)
+        return before, behind
 
     def log10_likelihood(self, m: Hmm) -> np.ndarray:
-        """Of each sequence, in the order given."""
-        logs = np.log10(self.forward(m)[1])
-        out = np.empty(len(self.order))
-        if len(self.active):
-            slot = np.arange(len(logs)) - np.repeat(self.offsets[:-1], self.active)
-            out[self.order] = np.bincount(slot, logs, len(self.order))
+        """Of each text, by the scaled forward recursion; the product of scales is the likelihood."""
+        before, out = self.edges(m)[0], np.zeros(len(self.lengths))
+        for own, offsets, symbols in self._blocks(self.order):
+            emit, now, sums = m.emit[symbols], None, np.zeros(len(own))
+            for a, b in zip(offsets[:-1], offsets[1:], strict=True):
+                now = (before[own] if now is None else now[: b - a] @ m.move) * emit[a:b]
+                scale = now.sum(axis=1)
+                sums[: b - a] += np.log10(scale)
+                now /= scale[:, None]
+            out += np.bincount(self.text[own], sums, len(out))
         return out
 
     def expected(self, m: Hmm) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Baum-Welch counts: of first states, of moves, of states by symbol."""
-        alpha, scale, emit = self.forward(m)
-        beta = np.empty_like(alpha)
-        for t in range(len(self.active) - 1, -1, -1):
-            a, b = self.offsets[t], self.offsets[t + 1]
-            beta[a:b] = 1.0
-            if t + 1 < len(self.active):
-                c, d = b, self.offsets[t + 2]
-                beta[a : a + d - c] = (emit[c:d] * beta[c:d] / scale[c:d, None]) @ m.move.T
-        gamma = alpha * beta
-        n, size = len(emit), len(m.emit)
-        later = np.arange(self.offsets[1] if len(self.active) else 0, n)
-        time = np.repeat(np.arange(len(self.active)), self.active)[later]
-        before = later - self.offsets[time] + self.offsets[time - 1]
-        moves = m.move * (alpha[before].T @ (emit[later] * beta[later] / scale[later, None]))
-        return gamma[: self.offsets[1]].sum(axis=0) if n else np.zeros(len(m.start)), moves, np.stack([np.bincount(self.symbols, gamma[:, s], size) for s in range(gamma.shape[1])], axis=1)
-
-
-def _unpacked(batch: pa.RecordBatch, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        size, states = m.emit.shape
+        start, moves, emitted = np.zeros(states), np.zeros((states, states)), np.zeros((size, states))
+        before, behind = self.edges(m)
+        # forward variables at the ends of chunks, for the moves into the chunks behind them
+        last = np.zeros_like(before)
+        seams, weights = [np.zeros(0, np.int64)], [np.zeros((0, states))]
+        for own, offsets, symbols in self._blocks(self.order):
+            emit = m.emit[symbols]
+            alpha, beta = np.empty_like(emit), np.empty_like(emit)
+            now = None
+            for a, b in zip(offsets[:-1], offsets[1:], strict=True):
+                now = (before[own] if now is None else now[: b - a] @ m.move) * emit[a:b]
+                scale = now.sum(axis=1, keepdims=True)
+                now = alpha[a:b] = now / scale
+                emit[a:b] /= scale
+            last[own] = alpha[offsets[self.size[own] - 1] + np.arange(len(own))]
+            for t in range(len(offsets) - 2, -1, -1):
+                a, b = offsets[t], offsets[t + 1]
+                beta[a:b] = behind[own[: b - a]]
+                if t + 2 < len(offsets):
+                    d = offsets[t + 2]
+                    beta[a : a + d - b] = (emit[b:d] * beta[b:d]) @ m.move.T
+            norm = np.einsum("ts,ts->t", alpha, beta)[:, None]
+            emit *= beta
+            emit /= norm
+            beta *= alpha
+            beta /= norm
+            for s in range(states):
+                emitted[:, s] += np.bincount(symbols, beta[:, s], size)
+            later = np.arange(offsets[1], offsets[-1])
+            time = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[later]
+            moves += alpha[later - offsets[time] + offsets[time - 1]].T @ emit[later]
+            heads = self.place[own] == 0
+            start += beta[: offsets[1]][heads].sum(axis=0)
+            seams.append(own[~heads])
+            weights.append(emit[: offsets[1]][~heads])
+        moves += last[np.concatenate(seams) - 1].T @ np.concatenate(weights)
+        return start, m.move * moves, emitted
+
+
+def _unpacked(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     symbols = np.frombuffer(b"".join(batch["symbols"].to_pylist()), "<u2")
-    lengths = pc.binary_length(batch["symbols"]).to_numpy().astype(np.int64) // 2
-    if most is None:
-        return symbols, lengths
-    pieces = -(-lengths // most)
-    start = (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * most
-    return symbols, np.minimum(np.repeat(lengths, pieces) - start, most)
+    return symbols, pc.binary_length(batch["symbols"]).to_numpy().astype(np.int64) // 2
 
 
 def expected_counts(encoded: DataFrame, model: Hmm) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -243,8 +305,8 @@ def expected_counts(encoded: DataFrame, model: Hmm) -> tuple[np.ndarray, np.ndar
         m = shared.value
         total = np.zeros((size + states + 1, states))
         for whole in batches:
-            for batch in tokens.slices(whole, "symbols", TRAIN_BYTES):
-                start, moves, emitted = Sequences(*_unpacked(batch, TRAIN_LENGTH)).expected(m)
+            for batch in tokens.slices(whole, "symbols", SLICE_BYTES):
+                start, moves, emitted = Sequences(*_unpacked(batch)).expected(m)
                 total[:size] += emitted
                 total[size : size + states] += moves
                 total[-1] += start
@@ -286,7 +348,7 @@ def score(encoded: DataFrame, counts: DataFrame, vocab: Vocabulary, model: Hmm)
         v, m = shared.value
         inside = np.concatenate([np.zeros(1 + v.n_symbols), np.log10(v.class_tokens + v.class_words + 1.0)])
         for whole in batches:
-            for batch in tokens.slices(whole, "symbols", SCORE_BYTES):
+            for batch in tokens.slices(whole, "symbols", SLICE_BYTES):
                 symbols, lengths = _unpacked(batch)
                 sums = Sequences(symbols, lengths).log10_likelihood(m)
                 sums -= np.bincount(np.repeat(np.arange(len(lengths)), lengths), inside[symbols], len(lengths))
