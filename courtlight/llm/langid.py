@@ -41,23 +41,26 @@ _LETTERS = _letters()
 
 
 def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of all n-grams (a row an order), and where each text's begin; spaces at the seams are of no text.
+    """Buckets of all n-grams (a row an order), and where each text's begin.
 
-    Each text is led by a space and ends in one, and runs of spaces count as they stand.
+    Each text is led by a space and ends in as many as the longest n-gram reaches over its end, so that no n-gram
+    holds anything of another text. Runs of spaces inside a text count as they stand.
     """
     offsets = np.frombuffer(texts.buffers()[1], np.int32 if texts.type == pa.string() else np.int64, len(texts) + 1 + texts.offset)[texts.offset :].astype(np.int64)
     data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]] if len(texts) else np.zeros(0, np.uint8)
-    bounds = offsets - offsets[0]
-    spaced = np.insert(_LETTERS[data], bounds[:-1], 32) if len(texts) else np.zeros(0, np.uint8)
+    bounds, seam = offsets - offsets[0], max(ORDERS) - 1
+    begin = bounds[:-1] + np.arange(len(texts)) * (1 + seam)
+    codes = np.full(len(data) + len(texts) * (1 + seam) + seam, 32, np.uint32)
+    codes[np.arange(len(data)) + np.repeat(np.arange(len(texts)) * (1 + seam) + 1, np.diff(bounds))] = _LETTERS[data]
     starts = bounds + np.arange(len(bounds))
-    codes = np.concatenate([spaced, np.full(max(ORDERS), 32, np.uint8)]).astype(np.uint32)
-    out = np.empty((len(ORDERS), len(spaced)), np.int64)
-    held = codes[: len(spaced)].copy()
+    own = np.arange(starts[-1]) + np.repeat(begin - starts[:-1], np.diff(starts))
+    out = np.empty((len(ORDERS), len(own)), np.int64)
+    held = codes[: len(codes) - seam].copy()
     for n in range(1, max(ORDERS)):
-        held = held * np.uint32(257) + codes[n : n + len(spaced)]
+        held = held * np.uint32(257) + codes[n : n + len(held)]
         if n + 1 in ORDERS:
             at = ORDERS.index(n + 1)
-            out[at] = ((held * np.uint32(2654435761)) >> np.uint32(32 - BUCKETS.bit_length() + 1)).astype(np.int64) + at * BUCKETS
+            out[at] = ((held[own] * np.uint32(2654435761)) >> np.uint32(32 - BUCKETS.bit_length() + 1)).astype(np.int64) + at * BUCKETS
     return out, starts
 
 
@@ -68,7 +71,8 @@ def codebook(languages: int, seed: int = 6) -> np.ndarray:
         return np.array(parts or [[1] * languages], np.int64).T
     bits = 2 * (languages - 1).bit_length() + SPARE_BITS
     draws = np.random.default_rng(seed).choice([-1, 1], (200, languages, bits))
-    apart = [min(int((w[i] != w[j]).sum()) for i in range(languages) for j in range(i)) if languages <= 40 else 0 for w in draws]
+    # bits in which the two nearest words differ, from products of words
+    apart = [(bits - np.max(w @ w.T - 2 * bits * np.eye(languages, dtype=np.int64))) // 2 for w in draws]
     return draws[int(np.argmax(apart))]
 
 
@@ -108,9 +112,7 @@ def fit(docs: DataFrame, keep: int = 4, held: int = 2, id_column: str = "doc_id"
     width = len(ORDERS) * BUCKETS
     counts = np.zeros((len(languages), width))
     if languages:
-        place = F.lit(0)
-        for i, x in enumerate(languages):
-            place = F.when(F.col("lang") == x, F.lit(i)).otherwise(place)
+        place = F.array_position(F.array(*map(F.lit, languages)), F.col("lang")) - 1
         rows = own.select(place.cast("long").alias("language"), "text").mapInArrow(_count(languages), "language long, bucket long, n long").groupBy("language", "bucket").agg(F.sum("n").alias("n")).toPandas()
         counts[rows["language"], rows["bucket"]] = rows["n"]
     code = codebook(len(languages)) if languages else np.zeros((0, 1), np.int64)
@@ -145,7 +147,8 @@ def predict(docs: DataFrame, model: Model, text: str = "text", out: str = "langu
     """docs and a struct column `out` (lang, score 0 to 1, ambiguous), which replaces one of that name.
 
     Null texts, and those without a letter, are `und` with score 0 and ambiguous, as all are of a model without
-    languages. The text alone counts, so equal texts have equal results.
+    languages. The text alone counts, so equal texts have equal results; of equally near codewords the first language
+    in order of names wins, and is ambiguous.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
