@@ -24,8 +24,8 @@ STATES, CLASSES, SUFFIX = 8, 512, 3
 SYMBOL_WORDS, HELD_WORDS = 8_000, 120_000
 #: Training: Baum-Welch rounds, each over all training documents.
 ROUNDS = 7
-#: Symbols of a chunk and of a block: the variables of a block are held at a time, some 30 MB.
-CHUNK, BLOCK = 64, 1 << 16
+#: Symbols of a chunk and of a block: the variables of a block are held at a time, some 10 MB.
+CHUNK, BLOCK = 64, 1 << 15
 #: Bytes of symbols that become chunks together, or one text's.
 SLICE_BYTES = 1 << 19
 #: Weight of the corpus distribution in each state's emissions, in tokens.
@@ -202,92 +202,96 @@ class Sequences:
             time = np.repeat(np.arange(len(active)), active)
             yield own, offsets, self.symbols[self.begin[own[np.arange(offsets[-1]) - offsets[time]]] + time]
 
-    def edges(self, m: Hmm) -> tuple[np.ndarray, np.ndarray]:
-        """The states' distribution before each chunk's first symbol, and the backward variables at its last."""
+    def edges(self, m: Hmm, kind: type = np.float64) -> tuple[np.ndarray, np.ndarray]:
+        """The states' distribution before each chunk's first symbol, and the backward variables at its last (states x chunks)."""
         n, states = len(self.text), len(m.start)
-        before, behind = np.tile(m.start, (n, 1)), np.ones((n, states))
+        before, behind = np.repeat(m.start[:, None], n, axis=1), np.ones((states, n))
         long = self.each[self.text] > 1
         if not long.any():
-            return before, behind
+            return before.astype(kind), behind.astype(kind)
         slot = np.cumsum(long) - 1
-        product = np.empty((int(long.sum()), states, states))
+        product = np.empty((states, states, int(long.sum())))
+        table, step = np.ascontiguousarray(m.emit.T, kind), np.ascontiguousarray(m.move.T, kind)
         for own, offsets, symbols in self._blocks(self.order[long[self.order]]):
-            emit = m.emit[symbols]
-            emit /= emit.max(axis=1, keepdims=True)
-            now = emit[: offsets[1], None, :] * np.eye(states)
+            emit = np.take(table, symbols, axis=1)
+            emit /= emit.max(axis=0)
+            now = emit[None, :, : offsets[1]] * np.eye(states, dtype=kind)[:, :, None]
             for time, (a, b) in enumerate(zip(offsets[1:-1], offsets[2:], strict=True), 1):
                 k = b - a
-                if k < len(now):
-                    product[slot[own[k : len(now)]]] = now[k:]
-                    now = now[:k]
-                now = (now.reshape(-1, states) @ m.move).reshape(k, states, states) * emit[a:b, None, :]
-                if not time % 16:
-                    now /= now.max(axis=(1, 2), keepdims=True)
-            product[slot[own[: len(now)]]] = now
-        product /= product.max(axis=(1, 2), keepdims=True)
+                if k < now.shape[2]:
+                    product[:, :, slot[own[k : now.shape[2]]]] = now[:, :, k:]
+                    now = now[:, :, :k]
+                now = step @ now
+                now *= emit[None, :, a:b]
+                if not time % 8:
+                    now /= now.max(axis=(0, 1))
+            product[:, :, slot[own[: now.shape[2]]]] = now
+        product /= product.max(axis=(0, 1))
         most = int(self.each.max())
         for k in range(1, most):
             c = self.first[self.each > k] + k
-            x = np.einsum("cs,cst->ct", before[c - 1], product[slot[c - 1]])
-            before[c] = (x / x.sum(axis=1, keepdims=True)) @ m.move
+            x = np.einsum("sc,stc->tc", before[:, c - 1], product[:, :, slot[c - 1]])
+            before[:, c] = m.move.T @ (x / x.sum(axis=0))
         for k in range(most - 1, 0, -1):
             c = self.first[self.each > k] + k
-            x = np.einsum("cst,ct->cs", product[slot[c]], behind[c]) @ m.move.T
-            behind[c - 1] = x / x.max(axis=1, keepdims=True)
-        return before, behind
+            x = m.move @ np.einsum("stc,tc->sc", product[:, :, slot[c]], behind[:, c])
+            behind[:, c - 1] = x / x.max(axis=0)
+        return before.astype(kind), behind.astype(kind)
 
     def log10_likelihood(self, m: Hmm) -> np.ndarray:
         """Of each text, by the scaled forward recursion; the product of scales is the likelihood."""
         before, out = self.edges(m)[0], np.zeros(len(self.lengths))
+        table, step = np.ascontiguousarray(m.emit.T), np.ascontiguousarray(m.move.T)
         for own, offsets, symbols in self._blocks(self.order):
-            emit, now, sums = m.emit[symbols], None, np.zeros(len(own))
+            emit, now, sums = np.take(table, symbols, axis=1), None, np.zeros(len(own))
             for a, b in zip(offsets[:-1], offsets[1:], strict=True):
-                now = (before[own] if now is None else now[: b - a] @ m.move) * emit[a:b]
-                scale = now.sum(axis=1)
+                now = (before[:, own] if now is None else step @ now[:, : b - a]) * emit[:, a:b]
+                scale = now.sum(axis=0)
                 sums[: b - a] += np.log10(scale)
-                now /= scale[:, None]
+                now /= scale
             out += np.bincount(self.text[own], sums, len(out))
         return out
 
-    def expected(self, m: Hmm) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Baum-Welch counts: of first states, of moves, of states by symbol."""
+    def expected(self, m: Hmm, kind: type = np.float32) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Baum-Welch counts: of first states, of moves, of states by symbol. Variables are of `kind`, sums of doubles."""
         size, states = m.emit.shape
         start, moves, emitted = np.zeros(states), np.zeros((states, states)), np.zeros((size, states))
-        before, behind = self.edges(m)
+        before, behind = self.edges(m, kind)
+        table, move, step = np.ascontiguousarray(m.emit.T, kind), m.move.astype(kind), np.ascontiguousarray(m.move.T, kind)
         # forward variables at the ends of chunks, for the moves into the chunks behind them
-        last = np.zeros_like(before)
-        seams, weights = [np.zeros(0, np.int64)], [np.zeros((0, states))]
+        last = np.zeros((states, len(self.text)))
+        seams, weights = [np.zeros(0, np.int64)], [np.zeros((states, 0))]
         for own, offsets, symbols in self._blocks(self.order):
-            emit = m.emit[symbols]
+            emit = np.take(table, symbols, axis=1)
             alpha, beta = np.empty_like(emit), np.empty_like(emit)
             now = None
             for a, b in zip(offsets[:-1], offsets[1:], strict=True):
-                now = (before[own] if now is None else now[: b - a] @ m.move) * emit[a:b]
-                scale = now.sum(axis=1, keepdims=True)
-                now = alpha[a:b] = now / scale
-                emit[a:b] /= scale
-            last[own] = alpha[offsets[self.size[own] - 1] + np.arange(len(own))]
+                now = (before[:, own] if now is None else step @ now[:, : b - a]) * emit[:, a:b]
+                scale = now.sum(axis=0)
+                now /= scale
+                alpha[:, a:b] = now
+                emit[:, a:b] /= scale
+            last[:, own] = alpha[:, offsets[self.size[own] - 1] + np.arange(len(own))]
             for t in range(len(offsets) - 2, -1, -1):
                 a, b = offsets[t], offsets[t + 1]
-                beta[a:b] = behind[own[: b - a]]
-                if t + 2 < len(offsets):
-                    d = offsets[t + 2]
-                    beta[a : a + d - b] = (emit[b:d] * beta[b:d]) @ m.move.T
-            norm = np.einsum("ts,ts->t", alpha, beta)[:, None]
+                d = offsets[t + 2] if t + 2 < len(offsets) else b
+                beta[:, a : a + d - b] = move @ (emit[:, b:d] * beta[:, b:d])
+                beta[:, a + d - b : b] = behind[:, own[d - b : b - a]]
+            norm = np.einsum("st,st->t", alpha, beta)
             emit *= beta
             emit /= norm
             beta *= alpha
             beta /= norm
             for s in range(states):
-                emitted[:, s] += np.bincount(symbols, beta[:, s], size)
+                emitted[:, s] += np.bincount(symbols, beta[s], size)
             later = np.arange(offsets[1], offsets[-1])
             time = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[later]
-            moves += alpha[later - offsets[time] + offsets[time - 1]].T @ emit[later]
+            moves += alpha[:, later - offsets[time] + offsets[time - 1]].astype(float) @ emit[:, later].T.astype(float)
             heads = self.place[own] == 0
-            start += beta[: offsets[1]][heads].sum(axis=0)
+            start += beta[:, : offsets[1]][:, heads].sum(axis=1, dtype=float)
             seams.append(own[~heads])
-            weights.append(emit[: offsets[1]][~heads])
-        moves += last[np.concatenate(seams) - 1].T @ np.concatenate(weights)
+            weights.append(emit[:, : offsets[1]][:, ~heads].astype(float))
+        moves += last[:, np.concatenate(seams) - 1] @ np.concatenate(weights, axis=1).T
         return start, m.move * moves, emitted
 
 
