@@ -44,8 +44,8 @@ LOW, HIGH = -8, 12
 LEVELS = HIGH - LOW + 1
 #: Ordinary documents of the calibration fold that the threshold may flag, as a share.
 ALARMS = 0.03
-#: Windows that a worker remembers; when it has more it starts anew. Only speed depends on it.
-REMEMBERED = 600_000
+#: Windows that a worker remembers, twice: beyond so many, those not met since the last time are forgotten. Only speed depends on it.
+REMEMBERED = 400_000
 
 
 @dataclass(frozen=True)
@@ -71,35 +71,42 @@ def framed(word: bytes) -> bytes:
 
 
 def _compressor(content: bytes) -> zstandard.ZstdCompressor:
-    params = zstandard.ZstdCompressionParameters.from_level(LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False)
-    return zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(content), compression_params=params)
+    known = zstandard.ZstdCompressionDict(content)
+    known.precompute_compress(level=LEVEL)
+    return zstandard.ZstdCompressor(level=LEVEL, dict_data=known, write_content_size=False, write_checksum=False, write_dict_id=False)
 
 
 class Distances:
-    """Distances of windows between two dictionaries."""
+    """Distances of windows between the ordinary dictionary and each of some toxic ones."""
 
-    def __init__(self, toxic: bytes, ordinary: bytes):
-        self.toxic, self.ordinary = _compressor(toxic), _compressor(ordinary)
+    def __init__(self, toxic: list[bytes], ordinary: bytes):
+        self.toxic, self.ordinary = [_compressor(t) for t in toxic], _compressor(ordinary)
         self.memory: dict[bytes, int] = {}
+        self.older: dict[bytes, int] = {}
 
     def of(self, words: list[bytes]) -> np.ndarray:
-        """The distances of different words."""
+        """The distances of different words: a row a toxic dictionary."""
         if len(self.memory) > REMEMBERED:
-            self.memory = {}
+            self.memory, self.older = {}, self.memory
         new = [w for w in words if w not in self.memory]
+        self.memory.update((w, self.older[w]) for w in new if w in self.older)
+        new = [w for w in new if w not in self.older]
         for at in range(0, len(new), 10_000):
             part = [framed(w) for w in new[at : at + 10_000]]
-            a, b = self.ordinary.multi_compress_to_buffer(part, threads=0), self.toxic.multi_compress_to_buffer(part, threads=0)
-            far = np.array([len(a[i]) - len(b[i]) for i in range(len(part))])
-            self.memory.update(zip(new[at : at + 10_000], np.clip(far, LOW, HIGH).tolist(), strict=True))
-        return np.fromiter(map(self.memory.__getitem__, words), np.int64, len(words))
+            size = lambda c: np.array([len(x) for x in c.multi_compress_to_buffer(part, threads=0)])  # noqa: B023, E731
+            usual, packed = size(self.ordinary), np.zeros(len(part), np.int64)
+            for c in self.toxic[::-1]:
+                packed = packed * LEVELS + np.clip(usual - size(c), LOW, HIGH) - LOW
+            self.memory.update(zip(new[at : at + 10_000], packed.tolist(), strict=True))
+        packed = np.fromiter(map(self.memory.__getitem__, words), np.int64, len(words))
+        return np.stack([packed // LEVELS**i % LEVELS + LOW for i in range(len(self.toxic))])
 
     def histograms(self, texts: pa.Array) -> np.ndarray:
-        """For each text, how many of its windows have each distance."""
+        """For each text and toxic dictionary, how many of its windows have each distance."""
         flat, row = windows(texts)
         coded = flat.dictionary_encode()
-        level = self.of(coded.dictionary.to_pylist())[coded.indices.to_numpy()] - LOW if len(flat) else np.zeros(0, np.int64)
-        return np.bincount(row * LEVELS + level, minlength=len(texts) * LEVELS).reshape(-1, LEVELS)
+        level = self.of(coded.dictionary.to_pylist())[:, coded.indices.to_numpy()] - LOW if len(flat) else np.zeros((len(self.toxic), 0), np.int64)
+        return np.stack([np.bincount(row * LEVELS + own, minlength=len(texts) * LEVELS).reshape(-1, LEVELS) for own in level], axis=1)
 
 
 def _labelled(docs: DataFrame, labels: DataFrame, id_column: str, text: str, id_in_labels: str, toxic: str, keep: int) -> DataFrame:
@@ -203,19 +210,19 @@ def fit(docs: DataFrame, labels: DataFrame, keep: int = 5, id_column: str = "doc
     first = dictionary(_training(counted, "toxic", TRAIN_WINDOWS), FIRST_BYTES)
 
     def toxic_windows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        distances = Distances(first, ordinary)
+        distances = Distances([first], ordinary)
         for batch in batches:
-            yield batch.filter(pa.array(distances.of(batch["word"].to_pylist()) >= TOXIC_FROM))
+            yield batch.filter(pa.array(distances.of(batch["word"].to_pylist())[0] >= TOXIC_FROM))
 
     found = materialise(counted.filter("toxic > 0").mapInArrow(toxic_windows, shape), "toxicity-found")
     samples = _training(found, "toxic", TRAIN_WINDOWS // 4)
     kinds = [dictionary(samples, size) for size in TOXIC_BYTES]
 
     def measure(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        distances = [Distances(content, ordinary) for content in kinds]
+        distances = Distances(kinds, ordinary)
         for whole in batches:
             for batch in tokens.slices(whole, "text"):
-                rows = np.concatenate([d.histograms(batch["text"]) for d in distances], axis=1)
+                rows = distances.histograms(batch["text"]).reshape(batch.num_rows, -1)
                 yield pa.RecordBatch.from_arrays([batch["toxic"], pa.array(list(rows), pa.list_(pa.int64()))], ["toxic", "found"])
 
     rows = sample.filter("calibrates").select("text", "toxic").mapInArrow(measure, "toxic int, found array<long>").toPandas()
@@ -245,9 +252,9 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "toxicit
         key = hash((own.toxic, own.ordinary))
         if key not in _DISTANCES:
             _DISTANCES.clear()
-            _DISTANCES[key] = Distances(own.toxic, own.ordinary)
+            _DISTANCES[key] = Distances([own.toxic], own.ordinary)
         batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])
-        parts = [evidence(_DISTANCES[key].histograms(x["text"]), own.weights, own.usual) for x in tokens.slices(batch, "text")]
+        parts = [evidence(_DISTANCES[key].histograms(x["text"])[:, 0], own.weights, own.usual) for x in tokens.slices(batch, "text")]
         x = np.concatenate(parts) if parts else np.zeros(0)
         return pd.Series(1 / (1 + np.exp(-np.clip(own.slope * (x - own.threshold), -30, 30))))
 
