@@ -44,8 +44,8 @@ LOW, HIGH = -8, 12
 LEVELS = HIGH - LOW + 1
 #: Ordinary documents of the calibration fold that the threshold may flag, as a share.
 ALARMS = 0.03
-#: Windows that a worker remembers, twice: beyond so many, those not met since the last time are forgotten. Only speed depends on it.
-REMEMBERED = 400_000
+#: Windows that a task remembers, twice: beyond so many, those not met since the last time are forgotten. Only speed depends on it.
+REMEMBERED = 250_000
 
 
 @dataclass(frozen=True)
@@ -235,9 +235,6 @@ def fit(docs: DataFrame, labels: DataFrame, keep: int = 5, id_column: str = "doc
     return Model(content, ordinary, weights, each, slope, threshold)
 
 
-_DISTANCES: dict[int, Distances] = {}
-
-
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "toxicity") -> DataFrame:
     """docs and a double column `out`, 0 to 1, which replaces one of that name; one half is the calibrated threshold.
 
@@ -247,15 +244,14 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "toxicit
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
-    def toxicity(texts: pd.Series) -> pd.Series:
+    def toxicity(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        # a task's own memory, gone with the task: workers live on and serve other stages
         own = shared.value
-        key = hash((own.toxic, own.ordinary))
-        if key not in _DISTANCES:
-            _DISTANCES.clear()
-            _DISTANCES[key] = Distances([own.toxic], own.ordinary)
-        batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])
-        parts = [evidence(_DISTANCES[key].histograms(x["text"])[:, 0], own.weights, own.usual) for x in tokens.slices(batch, "text")]
-        x = np.concatenate(parts) if parts else np.zeros(0)
-        return pd.Series(1 / (1 + np.exp(-np.clip(own.slope * (x - own.threshold), -30, 30))))
+        distances = Distances([own.toxic], own.ordinary)
+        for texts in series:
+            batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])
+            parts = [evidence(distances.histograms(x["text"])[:, 0], own.weights, own.usual) for x in tokens.slices(batch, "text")]
+            x = np.concatenate(parts) if parts else np.zeros(0)
+            yield pd.Series(1 / (1 + np.exp(-np.clip(own.slope * (x - own.threshold), -30, 30))))
 
     return docs.withColumn(out, toxicity(text_of(text)))
