@@ -286,12 +286,14 @@ def one_of_each(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
     Columns of docs may have any names. Texts are shuffled once, to meet the rows that stay.
     """
     tie = F.md5(text_of(text).cast("binary"))
-    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_column).alias("id"), tie.alias("tie"))
+    # keys without nulls, the same in the join and behind it, so that one shuffle serves both
+    spelled = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_column).isNull().alias("none"), spelled(F.col(id_column)).alias("id"), tie.alias("tie"))
     named = docs.select(F.col(id_column).alias("doc_id"), F.col(text).alias("text"), tie.alias("tie"))
     narrow = materialise(fingerprints(named, kind).select("doc_id", "tie", "fp", "node"), "fingerprints")
     classes, labels = _classes(narrow, F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")), kind, task_rows)
     found = classes.join(labels.withColumnRenamed("node", "node2"), F.col("node") == F.col("node2"), "left")
     firsts = found.filter("label IS NOT NULL").groupBy("label").agg(F.min("first").alias("first")).select("first").unionByName(found.filter("label IS NULL").select("first"))
-    chosen = materialise(firsts.select(F.col("first.doc_id").alias("kept_id"), F.col("first.tie").alias("kept_tie")), "kept")
-    kept = row.join(chosen, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("tie") == F.col("kept_tie")), "left_semi")
-    return kept.dropDuplicates(["id", "tie"]).select("row.*")
+    chosen = materialise(firsts.select(F.col("first.none").alias("none"), spelled(F.col("first.doc_id")).alias("id"), F.col("first.tie").alias("tie")), "kept")
+    kept = row.join(chosen, ["none", "id", "tie"], "left_semi")
+    return kept.dropDuplicates(["none", "id", "tie"]).select("row.*")
