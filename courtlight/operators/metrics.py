@@ -17,9 +17,11 @@ def clock_fit(pairs: DataFrame, by: str) -> DataFrame:
 
 
 def nearest_rank(df: DataFrame, by: str, value: str, p: float) -> DataFrame:
-    """The value at rank ceil(n * p) of each group."""
-    ranked = df.withColumns({"rank": F.row_number().over(W.partitionBy(by).orderBy(value)), "n": F.count("*").over(W.partitionBy(by))})
-    return ranked.filter(F.col("rank") == F.greatest(F.lit(1), F.ceil(F.col("n") * p))).select(by, F.col(value).alias("percentile"))
+    """The value at rank ceil(n * p) of each group, from counts by value: rows of a group are counted before they move."""
+    counts = df.filter(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(W.partitionBy(by).orderBy(value))
+    own = counts.withColumns({"upto": upto, "all": F.sum("n").over(W.partitionBy(by))})
+    return own.filter(F.col("upto") >= F.greatest(F.lit(1), F.ceil(F.col("all") * p))).groupBy(by).agg(F.min(value).alias("percentile"))
 
 
 def robust_threshold(df: DataFrame, by: str, value: str, floor: float) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import bisect
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -91,20 +94,25 @@ def ewma(points: DataFrame, alpha: float = 0.45, max_fps: float = 30.0) -> DataF
 
 
 def suppressed(points: DataFrame, min_gap_ms: int) -> DataFrame:
-    """Greedy suppression in time: the most confident first, each kept if no kept one of its track is within the gap."""
-    ordered = points.groupBy("track_id").agg(F.sort_array(F.collect_list(F.struct((-F.col("value")).alias("rank"), "t_ms", "frame_index"))).alias("points"))
-    kept = F.aggregate("points", F.array().cast("array<struct<rank:double,t_ms:bigint,frame_index:bigint>>"), lambda s, p: F.when(F.exists(s, lambda k: F.abs(k["t_ms"] - p["t_ms"]) < min_gap_ms), s).otherwise(F.concat(s, F.array(p))))
-    return ordered.select("track_id", F.explode(kept).alias("p")).select("track_id", "p.frame_index", "p.t_ms")
-
-
-def hysteresis(windows: DataFrame, enter: float = 0.75, stay: float = 0.55, coverage: float = 0.75) -> DataFrame:
-    """State of each window (key, ord, p, coverage): latched at `enter`, held at `stay`, unlatched by low coverage."""
-    own = windows.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("ord", "p", "coverage"))).alias("w"))
-
-    def step(s: Column, w: Column) -> Column:
-        on = F.when(w["coverage"] < coverage, False).otherwise((w["p"] >= enter) | (s["on"] & (w["p"] >= stay)))
-        state = F.when(w["coverage"] < coverage, "unknown").when(on, "active").when(F.greatest(w["p"], 1 - w["p"]) < 0.65, "unknown").otherwise("non_play")
-        return F.struct(on.alias("on"), F.concat(s["out"], F.array(F.struct(w["ord"].alias("ord"), state.alias("state")))).alias("out"))
-
-    start = F.struct(F.lit(False).alias("on"), F.array().cast("array<struct<ord:bigint,state:string>>").alias("out"))
-    return own.select("key", F.inline(F.aggregate("w", start, step, lambda s: s["out"])))
+    """Greedy suppression in time: the most confident first, each kept if no kept one of its track is within the gap.
+
+    Ties go to the earlier point. A track is cut wherever its points are at least the gap apart, as what stands on
+    either side can't suppress the other; each part is decided by a task of its own.
+    """
+    part = F.sum(F.when(F.col("step") >= min_gap_ms, 1).otherwise(0)).over(by_track())
+    cut = points.withColumn("step", F.col("t_ms") - F.lag("t_ms").over(by_track())).withColumn("part", part)
+
+    def keep(rows: pd.DataFrame) -> pd.DataFrame:
+        ordered = rows.sort_values(["value", "t_ms", "frame_index"], ascending=[False, True, True])
+        held: list[int] = []
+        kept = []
+        for t in ordered["t_ms"].tolist():
+            at = bisect.bisect_left(held, t)
+            near = (at > 0 and t - held[at - 1] < min_gap_ms) or (at < len(held) and held[at] - t < min_gap_ms)
+            kept.append(not near)
+            if not near:
+                held.insert(at, t)
+        return ordered[kept][["track_id", "frame_index", "t_ms"]]
+
+    kinds = dict(points.select("track_id", "frame_index", "t_ms").dtypes)
+    return cut.select("track_id", "part", "frame_index", "t_ms", "value").groupBy("track_id", "part").applyInPandas(keep, ", ".join(f"{k} {v}" for k, v in kinds.items()))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from courtlight.functions import court
+from courtlight.functions import court, vision
 from courtlight.operators import intervals, metrics, tracks
 from courtlight.sources import adapters
 from courtlight.sources.adapters import TIMELINE_SQL, TRACK_POINTS_SQL, read, track_points
@@ -182,13 +182,6 @@ def _(spark, sf):
     return tracks.ewma(track_points(spark, sf), 0.45, 0.0005).select("track_id", "n", _r("x_smooth").alias("x_smooth"), _r("y_smooth").alias("y_smooth"), "held")
 
 
-@query("win_15_hysteresis")
-def _(spark, sf):
-    e = F.col("event_id")
-    windows = read(spark, sf, "events").select(F.col("user_id").alias("key"), e.alias("ord"), (e * 31 % 1000 / 1000).alias("p"), (e * 17 % 1000 / 1000).alias("coverage"))
-    return tracks.hysteresis(windows)
-
-
 @query("win_17_side_flip", "SELECT take, id, CASE WHEN sum(CASE kind WHEN 'rally_end' THEN 1 ELSE 0 END) OVER (PARTITION BY take ORDER BY t_ms, id) % 2 = 0 THEN 'near' ELSE 'far' END AS side FROM (WITH " + TIMELINE_SQL + " SELECT * FROM timeline)")
 def _(spark, sf):
     flips = F.sum(F.when(F.col("kind") == "rally_end", 1).otherwise(0)).over(W.partitionBy("take").orderBy("t_ms", "id"))
@@ -276,11 +269,11 @@ def _(spark, sf):
     return read(spark, sf, "customer").select("c_name", court.player_key(said).alias("player"))
 
 
-@query("prj_21_chi_square")
-def _(spark, sf):
+@query("prj_21_chi_square", "WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE) + 1) AS h FROM embeddings), p AS (SELECT a.vec_id, a.h AS a, b.h AS b FROM v a JOIN v b ON b.vec_id = a.vec_id + 1) SELECT vec_id, round(least(1.0, list_sum(list_transform(range(1, len(a) + 1), lambda i: (a[i] - b[i]) * (a[i] - b[i]) / (a[i] + b[i] + 1e-6))) / 2 / len(a) * 8), 6) AS distance FROM p")
+def chi_square_of_neighbours(spark, sf):
     own = read(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double") + 1).alias("h"))
     other = own.select((F.col("vec_id") - 1).alias("before"), F.col("h").alias("h2"))
-    return own.join(other, F.col("vec_id") == F.col("before")).select("vec_id", _r(court.chi_square(F.col("h"), F.col("h2"))).alias("distance"))
+    return own.join(other, F.col("vec_id") == F.col("before")).select("vec_id", _r(vision.chi_square(F.col("h"), F.col("h2"))).alias("distance"))
 
 
 @query("prj_24_mid_rank", "WITH t AS (SELECT l_returnflag, l_quantity, count(*) AS equal FROM lineitem GROUP BY ALL) SELECT l_returnflag, l_quantity, equal, round((coalesce(sum(equal) OVER (PARTITION BY l_returnflag ORDER BY l_quantity ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + equal / 2) / sum(equal) OVER (PARTITION BY l_returnflag), 6) AS utility FROM t")
@@ -327,3 +320,7 @@ def _(spark, sf):
 def _(spark, sf):
     found = windowed_counts(read(spark, sf, "events"))
     return found.withColumns({"start": F.col("start").cast("timestamp_ntz"), "total": _r("total", 4)})
+
+
+from courtlight.plans import matches as _matches  # noqa: E402, F401  registers its queries here
+from courtlight.plans import records as _records  # noqa: E402, F401
