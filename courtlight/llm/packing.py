@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import materialise, prefix_sums, text_of
+from .common import materialise, prefix_sums, text_of, trim
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, keep_ids: bool = False, id_column: str = "doc_id", text: str = "text") -> DataFrame:
@@ -42,6 +42,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, ke
                 if keep_ids:
                     out, names = [*out, pa.array([bytes(x) for x in spans], pa.binary())], [*names, "ids"]
                 yield pa.RecordBatch.from_arrays(out, names)
+        trim()
 
     return docs.select(F.col(id_column).alias("id"), text_of(text).alias("text")).mapInArrow(cut, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * keep_ids)
 

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, text_of
+from .common import materialise, text_of, trim
 from .graph import components, salted_join
 
 SEED = 42
@@ -123,11 +123,13 @@ def fingerprints(docs: DataFrame, kind: Kind = CLOSE, text: str = "text") -> Dat
     """
 
     @F.pandas_udf("struct<fp:binary,node:long>")
-    def bits(texts: pd.Series) -> pd.DataFrame:
-        rows = np.stack([fingerprint(x, kind.shingle, kind.width) for x in texts]) if len(texts) else np.zeros((0, kind.width), np.uint64)
-        raw = [r.tobytes() for r in rows.astype(">u8")]
-        node = rows[:, 0] if kind.width == 1 else np.array([xxhash.xxh64_intdigest(r, SEED) for r in raw], np.uint64)
-        return pd.DataFrame({"fp": raw, "node": node.view(np.int64) if len(rows) else np.zeros(0, np.int64)})
+    def bits(series: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in series:
+            rows = np.stack([fingerprint(x, kind.shingle, kind.width) for x in texts]) if len(texts) else np.zeros((0, kind.width), np.uint64)
+            raw = [r.tobytes() for r in rows.astype(">u8")]
+            node = rows[:, 0] if kind.width == 1 else np.array([xxhash.xxh64_intdigest(r, SEED) for r in raw], np.uint64)
+            yield pd.DataFrame({"fp": raw, "node": np.ascontiguousarray(node).view(np.int64) if len(rows) else np.zeros(0, np.int64)})
+        trim()
 
     return docs.withColumn("__bits", bits(text_of(text))).select(*docs.columns, "__bits.fp", "__bits.node")
 
@@ -228,6 +230,8 @@ def _links_in_buckets(kind: Kind):
                 held = tuple(x[cut:] for x in held)
         if len(held[1]):
             yield out(*held)
+        held = ()
+        trim()
 
     return find
 

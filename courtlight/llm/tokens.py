@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Pieces that a worker remembers; when it has more it starts anew. Only speed depends on it.
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 #: White space, as any of the libraries sees it, before a space or line feed.
 _SPACED = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}][ \n]"
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import fold, materialise, text_of
+from .common import fold, materialise, text_of, trim
 
 #: Labelled documents of each label used for fitting, about, at most: those with the smallest hashes of their ids.
 FIT_TOXIC, FIT_ORDINARY = 8_000, 16_000
@@ -45,7 +45,7 @@ LEVELS = HIGH - LOW + 1
 #: Ordinary documents of the calibration fold that the threshold may flag, as a share.
 ALARMS = 0.03
 #: Windows that a task remembers, twice: beyond so many, those not met since the last time are forgotten. Only speed depends on it.
-REMEMBERED = 250_000
+REMEMBERED = 150_000
 
 
 @dataclass(frozen=True)
@@ -213,6 +213,8 @@ def fit(docs: DataFrame, labels: DataFrame, keep: int = 5, id_column: str = "doc
         distances = Distances([first], ordinary)
         for batch in batches:
             yield batch.filter(pa.array(distances.of(batch["word"].to_pylist())[0] >= TOXIC_FROM))
+        del distances
+        trim()
 
     found = materialise(counted.filter("toxic > 0").mapInArrow(toxic_windows, shape), "toxicity-found")
     samples = _training(found, "toxic", TRAIN_WINDOWS // 4)
@@ -224,6 +226,8 @@ def fit(docs: DataFrame, labels: DataFrame, keep: int = 5, id_column: str = "doc
             for batch in tokens.slices(whole, "text"):
                 rows = distances.histograms(batch["text"]).reshape(batch.num_rows, -1)
                 yield pa.RecordBatch.from_arrays([batch["toxic"], pa.array(list(rows), pa.list_(pa.int64()))], ["toxic", "found"])
+        del distances
+        trim()
 
     rows = sample.filter("calibrates").select("text", "toxic").mapInArrow(measure, "toxic int, found array<long>").toPandas()
     if rows["toxic"].nunique() < 2:
@@ -253,5 +257,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "toxicit
             parts = [evidence(distances.histograms(x["text"])[:, 0], own.weights, own.usual) for x in tokens.slices(batch, "text")]
             x = np.concatenate(parts) if parts else np.zeros(0)
             yield pd.Series(1 / (1 + np.exp(-np.clip(own.slope * (x - own.threshold), -30, 30))))
+        del distances
+        trim()
 
     return docs.withColumn(out, toxicity(text_of(text)))
