@@ -15,7 +15,7 @@ from . import tokens
 from .common import materialise, prefix_sums, text_of, trim
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, keep_ids: bool = False, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, keep_ids: bool = False, id_column: str = "doc_id", text: str = "text", remembered: int = tokens.REMEMBERED) -> DataFrame:
     """Every document's ids and an end id, cut every `capacity` ids: one row a piece.
 
     Null texts count as empty and still have their end id. Rows of equal ids stay rows of their own; null ids stay
@@ -26,7 +26,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, ke
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in tokens.slices(whole, "text"):
-                ids, bounds = tokens.encode(tokenizer, False, batch["text"])
+                ids, bounds = tokens.encode(tokenizer, False, batch["text"], remembered)
                 n = np.diff(bounds) + 1
                 each = -(-n // capacity)
                 row = np.repeat(np.arange(len(n)), each)
@@ -117,9 +117,9 @@ def pack(pieces: DataFrame, capacity: int, order: list[str]) -> DataFrame:
     return ranked.withColumn("__slot", slot("length", "__rank")).select(*pieces.columns, "__slot.sequence_id", "__slot.offset")
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 1024, keep_ids: bool = False, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 1024, keep_ids: bool = False, id_column: str = "doc_id", text: str = "text", remembered: int = tokens.REMEMBERED) -> DataFrame:
     """All documents as pieces in sequences of at most `capacity` ids; see token_pieces and pack. Empty in, empty out."""
-    pieces = materialise(token_pieces(docs, tokenizer, end_id, capacity, keep_ids, id_column, text), "pieces")
+    pieces = materialise(token_pieces(docs, tokenizer, end_id, capacity, keep_ids, id_column, text, remembered), "pieces")
     return pack(pieces, capacity, ["doc_id", "start", "ids_crc32"])
 
 

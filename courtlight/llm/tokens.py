@@ -11,7 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Pieces that a worker remembers; when it has more it keeps those met first, the common ones. Only speed depends on it.
-REMEMBERED, KEPT = 300_000, 120_000
+REMEMBERED = 800_000
 #: White space, as any of the libraries sees it, before a space or line feed.
 _SPACED = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}][ \n]"
 
@@ -48,8 +48,9 @@ class PieceEncoder:
         self.ids, self.starts = np.zeros(0, "<u4"), np.zeros(1, np.int64)
 
     def _forget(self) -> None:
-        """Keep the first KEPT pieces: they are numbered in the order in which they were met."""
-        self.memory = dict(zip(islice(self.memory, KEPT), range(KEPT), strict=False))
+        """Keep the first two fifths of the pieces: they are numbered in the order in which they were met."""
+        kept = len(self.memory) * 2 // 5
+        self.memory = dict(zip(islice(self.memory, kept), range(kept), strict=True))
         self.starts = self.starts[: len(self.memory) + 1].copy()
         self.ids = self.ids[: self.starts[-1]].copy()
 
@@ -106,8 +107,8 @@ class PieceEncoder:
         self.ids = np.concatenate(ids)
         self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(lengths, dtype=np.int64)])
 
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.memory) > REMEMBERED:
+    def encode(self, texts: pa.Array, remembered: int = REMEMBERED) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.memory) > remembered:
             self._forget()
         keys, counts = self._keys(texts)
         coded = keys.dictionary_encode()
@@ -126,11 +127,11 @@ class PieceEncoder:
 _ENCODERS: dict[tuple[str, bool], PieceEncoder] = {}
 
 
-def encode(path: str, dropped: bool, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def encode(path: str, dropped: bool, texts: pa.Array, remembered: int = REMEMBERED) -> tuple[np.ndarray, np.ndarray]:
     """PieceEncoder.encode; a worker keeps one encoder, whose memory serves all its tasks."""
     if (path, dropped) not in _ENCODERS:
         _ENCODERS[path, dropped] = PieceEncoder(path, dropped)
-    return _ENCODERS[path, dropped].encode(texts)
+    return _ENCODERS[path, dropped].encode(texts, remembered)
 
 
 def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20):
