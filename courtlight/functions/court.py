@@ -57,10 +57,3 @@ def player_key(name: Column) -> Column:
     """P1, Player 1, player_1 and the like as P1; other names trimmed."""
     number = F.regexp_extract(name, r"(?i)^\s*p(?:layer)?[ _-]*0*([0-9]+)\s*$", 1)
     return F.when(number != "", F.concat(F.lit("P"), number)).otherwise(F.trim(name))
-
-
-def chi_square(a: Column, b: Column) -> Column:
-    """Half chi-square of two histograms over their size, times 8, at most 1; null where sizes differ."""
-    terms = F.transform(F.arrays_zip(a.alias("a"), b.alias("b")), lambda z: F.when(z["a"] + z["b"] > 0, (z["a"] - z["b"]) * (z["a"] - z["b"]) / (z["a"] + z["b"])).otherwise(0.0))
-    total = F.aggregate(terms, F.lit(0.0), lambda s, t: s + t)
-    return F.when(F.size(a) == F.size(b), F.least(F.lit(1.0), total / 2 / F.size(a) * 8))
