@@ -7,6 +7,7 @@ attachment becomes a numbered placeholder whose reference and expanded token cou
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import text_of
@@ -46,10 +47,8 @@ def _is_attachment(part: Column) -> Column:
     return F.coalesce(part["type"].isin("image", "audio", "document"), F.lit(False))
 
 
-def _visit(part: Column, first: Column, before: Column) -> Column:
-    """A part's text; `first` is the number of the turn's first attachment, `before` counts those before this part."""
-    number = (first + before).cast("string")
-    return F.when(_is_attachment(part), F.concat(F.lit("<|"), part["type"], F.lit(":"), number, F.lit("|>"))).otherwise(escape(F.coalesce(part["text"], F.lit(""))))
+def _placeholder(kind: Column, number: Column) -> Column:
+    return F.concat(F.lit("<|"), kind, F.lit(":"), number.cast("string"), F.lit("|>"))
 
 
 def parts_of_text(text: Column) -> Column:
@@ -63,37 +62,46 @@ def format_chats(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", ro
 
     Turns go in ascending order of turn, equal turns by role and content, null turns first; repeated rows are all
     kept. A null role or text is empty; null parts, or none, make an empty turn; a part of unknown type counts as
-    text. A null conversation id is a conversation like any other. loss_spans (start, length in code points) cover
-    the bodies of trained roles. Only named columns are read. A conversation is the unit of work, so one task holds
-    a conversation, never more than the rows of its own.
+    text. Adjacent text parts are one text, so no control string arises where they meet. A null conversation id is a
+    conversation like any other. loss_spans (start, length in code points) cover the bodies of trained roles. Only
+    named columns are read. A conversation is the unit of work: one shuffle, and the work grows with its parts.
     """
-    own = turns.select(F.col(conv).alias("conv_id"), F.struct(F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(parts).cast(f"array<{PART}>"), F.array().cast(f"array<{PART}>")).alias("parts")).alias("t"))
-    grouped = own.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
-
-    count = lambda ps: F.size(F.filter(ps, _is_attachment)).cast("long")
-    counted = grouped.withColumn("counts", F.transform("turns", lambda t: count(t["parts"])))
-    first = lambda i: F.aggregate(F.slice("counts", F.lit(1), i), F.lit(1).cast("long"), lambda a, x: a + x)
-
-    def body(t: Column, i: Column) -> Column:
-        start = first(i)
-        return F.array_join(F.transform(t["parts"], lambda p, j: _visit(p, start, count(F.slice(t["parts"], F.lit(1), j)))), "")
-
-    headed = counted.withColumn("pieces", F.transform("turns", lambda t, i: F.struct(F.concat(F.lit(TURN), escape(t["role"]), F.lit(BODY)).alias("head"), body(t, i).alias("body"), t["role"].isin(*trained).alias("trained"))))
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("spans"))
-
-    def step(s: Column, p: Column) -> Column:
-        start, long = s["at"] + F.length(p["head"]), F.length(p["body"]).cast("long")
-        span = F.array(F.struct(start.alias("start"), long.alias("length")))
-        return F.struct((start + long + len(END)).alias("at"), F.when(p["trained"], F.concat(s["spans"], span)).otherwise(s["spans"]).alias("spans"))
-
-    shown = F.filter(F.flatten(F.transform("turns", lambda t: t["parts"])), _is_attachment)
-    attachments = F.transform(shown, lambda p, i: F.struct((i + 1).cast("long").alias("number"), p["type"].alias("type"), p["ref"].alias("ref"), _tokens(p).alias("tokens")))
-    return headed.select(
+    own = turns.select(F.col(conv).alias("conv_id"), F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(parts).cast(f"array<{PART}>"), F.array().cast(f"array<{PART}>")).alias("parts"))
+    in_turns = W.partitionBy("conv_id").orderBy("turn", "role", "parts")
+    ranked = own.withColumn("n", F.row_number().over(in_turns))
+    visited = ranked.select("conv_id", "n", "role", F.posexplode_outer("parts").alias("pos", "part")).withColumn("shown", _is_attachment(F.col("part")))
+    # a stretch is an attachment and the texts behind it, or the texts before a turn's first attachment
+    in_parts = W.partitionBy("conv_id").orderBy("n", "pos")
+    numbered = visited.withColumn("number", F.sum(F.col("shown").cast("long")).over(in_parts))
+    texts = F.sort_array(F.collect_list(F.when(~F.col("shown"), F.struct("pos", F.coalesce("part.text", F.lit("")).alias("text")))))
+    stretches = numbered.groupBy("conv_id", "n", "number").agg(
+        F.first("role").alias("role"),
+        F.max(F.when(F.col("shown"), F.struct("number", F.col("part.type").alias("type"), F.col("part.ref").alias("ref"), _tokens(F.col("part")).alias("tokens")))).alias("shown"),
+        F.array_join(F.transform(texts, lambda x: x["text"]), "").alias("text"),
+    )
+    flat = F.concat(F.coalesce(_placeholder(F.col("shown.type"), F.col("number")), F.lit("")), escape(F.col("text")))
+    joined = stretches.groupBy("conv_id", "n").agg(
+        F.first("role").alias("role"),
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("number", flat.alias("flat")))), lambda x: x["flat"]), "").alias("body"),
+        F.sort_array(F.collect_list("shown")).alias("shown"),
+    )
+    headed = joined.withColumn("head", F.concat(F.lit(TURN), escape(F.col("role")), F.lit(BODY)))
+    long = (F.length("head") + F.length("body") + len(END)).cast("long")
+    until = F.sum(long).over(W.partitionBy("conv_id").orderBy("n"))
+    span = F.struct((until - F.length("body") - len(END)).alias("start"), F.length("body").cast("long").alias("length"))
+    placed = headed.withColumn("span", F.when(F.col("role").isin(*trained), span))
+    whole = placed.groupBy("conv_id").agg(
+        F.sort_array(F.collect_list(F.struct("n", F.concat("head", "body", F.lit(END)).alias("out")))).alias("pieces"),
+        F.sort_array(F.collect_list("span")).alias("loss_spans"),
+        F.sort_array(F.flatten(F.collect_list("shown"))).alias("attachments"),
+    )
+    return whole.select(
         "conv_id",
-        F.array_join(F.transform("pieces", lambda p: F.concat(p["head"], p["body"], F.lit(END))), "").alias("formatted"),
-        F.aggregate("pieces", zero, step, lambda s: s["spans"]).alias("loss_spans"),
-        attachments.alias("attachments"),
-    ).withColumn("expanded_tokens", F.aggregate("attachments", F.lit(0).cast("long"), lambda a, x: a + x["tokens"]))
+        F.array_join(F.transform("pieces", lambda p: p["out"]), "").alias("formatted"),
+        "loss_spans",
+        "attachments",
+        F.aggregate("attachments", F.lit(0).cast("long"), lambda a, x: a + x["tokens"]).alias("expanded_tokens"),
+    )
 
 
 def read_turns(formatted: Column) -> Column:
