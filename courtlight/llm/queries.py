@@ -8,11 +8,12 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary, chat, hmm, langid, media, mixing, packing, rules, simhash, toxicity
+from . import binary, chat, hmm, langid, media, mixing, packing, pieces, rules, simhash, toxicity
 from .common import WHITE, fold, materialise, table, text_of
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,6 +134,13 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.read_media(media.write_media(table(spark, sf_dir, "documents")))
 
 
+def op13_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and digests of the ids and decoded texts of pieces.encode_documents, whose rules for odd rows hold."""
+    coded = pieces.encode_documents(table(spark, sf_dir, "documents"), PIECE_BPE)
+    n_tokens = (F.octet_length("ids") / 4).cast("long")
+    return coded.select("doc_id", n_tokens.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_toxicity": op2_toxicity,
@@ -144,5 +152,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lm_scoring": op8_lm_scoring,
     "op9_mixing": op9_mixing,
     "op10_media": op10_media,
+    "op13_pieces": op13_pieces,
 }
 ORACLE: dict[str, str] = {"op4_chat_formatting": OP4_SQL, "op7_quality_rules": OP7_SQL}
