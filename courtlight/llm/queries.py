@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary, chat, hmm, langid, media, mixing, packing, pieces, rules, simhash, toxicity
+from . import binary, chat, hmm, langid, media, mixing, packing, pieces, repair, rules, simhash, toxicity
 from .common import WHITE, fold, materialise, table, text_of
+from .repair_sql import OP12_SQL
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -141,6 +142,18 @@ def op13_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", n_tokens.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation's faults, cheapest edits and digest of its repaired rows, by repair.repair after the damage."""
+    turns = table(spark, sf_dir, "conversations")
+    found = repair.repair(repair.damaged(turns))
+    joined = repair.joined(found.edits)
+    own = turns.select("conv_id").distinct()
+    report = found.report.withColumnRenamed("conv", "a")
+    told = own.join(report, F.col("conv_id").eqNullSafe(F.col("a")), "left").join(joined.withColumnRenamed("conv", "b"), F.col("conv_id").eqNullSafe(F.col("b")), "left")
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return told.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_toxicity": op2_toxicity,
@@ -152,6 +165,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lm_scoring": op8_lm_scoring,
     "op9_mixing": op9_mixing,
     "op10_media": op10_media,
+    "op12_repair": op12_repair,
     "op13_pieces": op13_pieces,
 }
-ORACLE: dict[str, str] = {"op4_chat_formatting": OP4_SQL, "op7_quality_rules": OP7_SQL}
+ORACLE: dict[str, str] = {"op4_chat_formatting": OP4_SQL, "op7_quality_rules": OP7_SQL, "op12_repair": OP12_SQL}
