@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary, chat, hmm, langid, media, mixing, packing, pieces, repair, rules, simhash, toxicity
+from . import binary, chat, hmm, langid, media, mixing, packing, phrases, pieces, repair, rules, simhash, toxicity
 from .common import WHITE, fold, materialise, table, text_of
 from .repair_sql import OP12_SQL
 
@@ -142,6 +142,34 @@ def op13_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", n_tokens.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """phrases.collocations of all texts; its rules for odd rows hold."""
+    return phrases.collocations(table(spark, sf_dir, "documents"), longest=3, least=10, share=50, top=2000)
+
+
+OP11_SQL = r"""
+WITH d AS (
+  SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+p AS (SELECT lang, regexp_extract_all(unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS ws FROM d),
+g AS (
+  SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase
+  FROM p, unnest([1, 2, 3]) AS s(k), unnest(range(1, len(ws) - k + 2)) AS t(i)),
+f AS (SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY ALL),
+n AS (SELECT lang, sum(a) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND a >= 10),
+inner_ AS (SELECT lang, w[i] || ' ' || w[i + 1] AS phrase, max(a) AS most FROM c, (VALUES (1), (2)) AS v(i) WHERE k = 3 GROUP BY ALL),
+kept AS (SELECT c.* FROM c LEFT JOIN inner_ USING (lang, phrase) WHERE coalesce(100 * most, 0) < 50 * a),
+cut AS (SELECT *, array_to_string(w[1:h], ' ') AS head, array_to_string(w[h + 1:], ' ') AS rest FROM kept, unnest(range(1, k)) AS u(h)),
+scored AS (
+  SELECT cut.lang, cut.phrase, cut.a, cut.h, x.a AS l, y.a AS r,
+    CAST((1000000::HUGEINT * cut.a * cut.a) // (x.a::HUGEINT * y.a) AS BIGINT) AS score
+  FROM cut JOIN f x ON x.lang = cut.lang AND x.phrase = head JOIN f y ON y.lang = cut.lang AND y.phrase = rest),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, h) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, score
+FROM best JOIN n USING (lang) QUALIFY rank <= 2000
+"""
+
+
 def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation's faults, cheapest edits and digest of its repaired rows, by repair.repair after the damage."""
     turns = table(spark, sf_dir, "conversations")
@@ -165,7 +193,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lm_scoring": op8_lm_scoring,
     "op9_mixing": op9_mixing,
     "op10_media": op10_media,
+    "op11_phrases": op11_phrases,
     "op12_repair": op12_repair,
     "op13_pieces": op13_pieces,
 }
-ORACLE: dict[str, str] = {"op4_chat_formatting": OP4_SQL, "op7_quality_rules": OP7_SQL, "op12_repair": OP12_SQL}
+ORACLE: dict[str, str] = {"op4_chat_formatting": OP4_SQL, "op7_quality_rules": OP7_SQL, "op11_phrases": OP11_SQL, "op12_repair": OP12_SQL}
