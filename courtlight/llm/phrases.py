@@ -23,7 +23,7 @@ from .common import materialise, text_of, trim
 #: Bits of the map, as a power of two: 16 MB.
 BITS = 27
 #: Bytes of text counted together.
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 4 << 20
 #: Seed of the hash of words, the same for Spark's function and the library's.
 SEED = 42
 #: Turns the hash of a phrase before the next word's is added.
@@ -53,9 +53,9 @@ def words_of(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray, np.ndarra
     begin = inside.copy()
     begin[1:] &= ~inside[:-1] | edge[1:-1]
     at = np.nonzero(begin)[0]
-    piece = np.cumsum((kind == 2) | edge[:-1], dtype=np.int64)[at]
+    piece = np.cumsum((kind == 2) | edge[:-1], dtype=np.int32)[at]
     row = np.searchsorted(offsets, at, side="right") - 1
-    cuts = np.append((np.cumsum(inside, dtype=np.int64) - 1)[at], inside.sum()).astype(np.int32)
+    cuts = np.append((np.cumsum(inside, dtype=np.int32) - 1)[at], inside.sum()).astype(np.int32)
     words = pa.StringArray.from_buffers(len(at), pa.py_buffer(cuts), pa.py_buffer(_LOWER[data[inside]]))
     return words.dictionary_encode(), row, piece
 
