@@ -45,7 +45,7 @@ def zone_12(x: Column, y: Column) -> Column:
     return F.when(in_bounds(x, y), row * 3 + third + 1).cast("int")
 
 
-def landing_call(x: Column, y: Column, tolerance: float = 0.1) -> Column:
+def landing_call(x: Column, y: Column, tolerance: float | Column = 0.1) -> Column:
     """in, out or unknown within the tolerance of a line, by the signed distance to the boundary (positive inside)."""
     inside = F.least(x, WIDTH - x, y, LENGTH - y)
     out_x, out_y = F.greatest(-x, x - WIDTH, F.lit(0.0)), F.greatest(-y, y - LENGTH, F.lit(0.0))

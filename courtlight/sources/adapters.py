@@ -36,3 +36,14 @@ def timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 TIMELINE_SQL = "timeline AS (SELECT user_id % 4 AS take, epoch_us(ts) // 1000 AS t_ms, event_id AS id, CASE event_type WHEN 'signup' THEN 'rally_start' ELSE 'rally_end' END AS kind FROM events WHERE event_type IN ('signup', 'purchase'))"
+
+
+def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    """A derived table by SQL that both engines read; tables stand in it as {name}."""
+    names = {part.split("}")[0] for part in sql.split("{")[1:]}
+    return spark.sql(sql, **{name: read(spark, sf_dir, name) for name in names})
+
+
+def plain(sql: str) -> str:
+    """The same SQL for an engine that knows the tables by name."""
+    return sql.replace("{", "").replace("}", "")
