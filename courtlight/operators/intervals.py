@@ -51,10 +51,20 @@ def asof(left: DataFrame, right: DataFrame, by: str, time: str, value: str, forw
 
 
 def nearest(left: DataFrame, right: DataFrame, by: str, time: str, value: str, tolerance: int) -> DataFrame:
-    """left with the nearest row of right (the earlier one of a tie) and a status; null beyond the tolerance."""
-    back = asof(left, right, by, time, value).withColumnsRenamed({"right_t": "bt", "right_v": "bv"})
-    both = asof(back, right, by, time, value, forward=True)
-    first = F.col("bt").isNotNull() & (F.col("right_t").isNull() | (F.col(time) - F.col("bt") <= F.col("right_t") - F.col(time)))
-    near_t, near_v = F.when(first, F.col("bt")).otherwise(F.col("right_t")), F.when(first, F.col("bv")).otherwise(F.col("right_v"))
-    ok = F.coalesce(F.abs(near_t - F.col(time)) <= tolerance, F.lit(False))
-    return both.select(*left.columns, F.when(ok, near_v).alias("match"), F.when(ok, F.abs(near_t - F.col(time))).alias("delta_ms"), F.when(ok, "ok").otherwise("unavailable").alias("status"))
+    """left with the nearest row of right (the earlier one of a tie) and a status; null beyond the tolerance.
+
+    Of rows of right at one time, the largest value counts at or before a row of left and the smallest behind it. Both
+    sides are one table, sorted once. A key is one task's work; grid.aligned has the form in ranges of time.
+    """
+    at = F.struct(F.col(time).cast("long").alias("t"), F.col(value).cast("long").alias("v"))
+    own = left.withColumns({"__side": F.lit(1), "__at": F.lit(None).cast("struct<t:bigint,v:bigint>")})
+    both = own.unionByName(right.select(by, time, F.lit(0).alias("__side"), at.alias("__at")), allowMissingColumns=True)
+    order = W.partitionBy(by).orderBy(time, "__side", "__at.v")
+    past = F.last("__at", ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, 0))
+    later = F.first("__at", ignorenulls=True).over(order.rowsBetween(1, W.unboundedFollowing))
+    seen = both.withColumns({"__past": past, "__later": later}).filter("__side = 1")
+    first = F.col("__past").isNotNull() & (F.col("__later").isNull() | (F.col(time) - F.col("__past.t") <= F.col("__later.t") - F.col(time)))
+    near = F.when(first, F.col("__past")).otherwise(F.col("__later"))
+    apart = F.abs(near["t"] - F.col(time))
+    ok = F.coalesce(apart <= tolerance, F.lit(False))
+    return seen.select(*left.columns, F.when(ok, near["v"]).alias("match"), F.when(ok, apart).alias("delta_ms"), F.when(ok, "ok").otherwise("unavailable").alias("status"))

@@ -325,3 +325,4 @@ def _(spark, sf):
 from courtlight.plans import matches as _matches  # noqa: E402, F401  registers its queries here
 from courtlight.plans import records as _records  # noqa: E402, F401
 from courtlight.plans import evidence as _evidence  # noqa: E402, F401
+from courtlight.plans import cameras as _cameras  # noqa: E402, F401
