@@ -25,7 +25,7 @@ SYMBOL_WORDS, HELD_WORDS = 8_000, 120_000
 #: Training: Baum-Welch rounds, each over all training documents.
 ROUNDS = 7
 #: Symbols of a chunk and of a block: the variables of a block are held at a time, some 10 MB.
-CHUNK, BLOCK = 64, 1 << 15
+CHUNK, BLOCK = 64, 1 << 14
 #: Bytes of symbols that become chunks together, or one text's.
 SLICE_BYTES = 1 << 19
 #: Weight of the corpus distribution in each state's emissions, in tokens.
@@ -202,20 +202,20 @@ class Sequences:
             time = np.repeat(np.arange(len(active)), active)
             yield own, offsets, self.symbols[self.begin[own[np.arange(offsets[-1]) - offsets[time]]] + time]
 
-    def edges(self, m: Hmm, kind: type = np.float64) -> tuple[np.ndarray, np.ndarray]:
+    def edges(self, m: Hmm) -> tuple[np.ndarray, np.ndarray]:
         """The states' distribution before each chunk's first symbol, and the backward variables at its last (states x chunks)."""
         n, states = len(self.text), len(m.start)
         before, behind = np.repeat(m.start[:, None], n, axis=1), np.ones((states, n))
         long = self.each[self.text] > 1
         if not long.any():
-            return before.astype(kind), behind.astype(kind)
+            return before, behind
         slot = np.cumsum(long) - 1
         product = np.empty((states, states, int(long.sum())))
-        table, step = np.ascontiguousarray(m.emit.T, kind), np.ascontiguousarray(m.move.T, kind)
+        table, step = np.ascontiguousarray(m.emit.T), np.ascontiguousarray(m.move.T)
         for own, offsets, symbols in self._blocks(self.order[long[self.order]]):
             emit = np.take(table, symbols, axis=1)
             emit /= emit.max(axis=0)
-            now = emit[None, :, : offsets[1]] * np.eye(states, dtype=kind)[:, :, None]
+            now = emit[None, :, : offsets[1]] * np.eye(states)[:, :, None]
             for time, (a, b) in enumerate(zip(offsets[1:-1], offsets[2:], strict=True), 1):
                 k = b - a
                 if k < now.shape[2]:
@@ -236,7 +236,7 @@ class Sequences:
             c = self.first[self.each > k] + k
             x = m.move @ np.einsum("stc,tc->sc", product[:, :, slot[c]], behind[:, c])
             behind[:, c - 1] = x / x.max(axis=0)
-        return before.astype(kind), behind.astype(kind)
+        return before, behind
 
     def log10_likelihood(self, m: Hmm) -> np.ndarray:
         """Of each text, by the scaled forward recursion; the product of scales is the likelihood."""
@@ -252,12 +252,12 @@ class Sequences:
             out += np.bincount(self.text[own], sums, len(out))
         return out
 
-    def expected(self, m: Hmm, kind: type = np.float32) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Baum-Welch counts: of first states, of moves, of states by symbol. Variables are of `kind`, sums of doubles."""
+    def expected(self, m: Hmm) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Baum-Welch counts: of first states, of moves, of states by symbol."""
         size, states = m.emit.shape
         start, moves, emitted = np.zeros(states), np.zeros((states, states)), np.zeros((size, states))
-        before, behind = self.edges(m, kind)
-        table, move, step = np.ascontiguousarray(m.emit.T, kind), m.move.astype(kind), np.ascontiguousarray(m.move.T, kind)
+        before, behind = self.edges(m)
+        table, move, step = np.ascontiguousarray(m.emit.T), m.move, np.ascontiguousarray(m.move.T)
         # forward variables at the ends of chunks, for the moves into the chunks behind them
         last = np.zeros((states, len(self.text)))
         seams, weights = [np.zeros(0, np.int64)], [np.zeros((states, 0))]
@@ -286,11 +286,11 @@ class Sequences:
                 emitted[:, s] += np.bincount(symbols, beta[s], size)
             later = np.arange(offsets[1], offsets[-1])
             time = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[later]
-            moves += alpha[:, later - offsets[time] + offsets[time - 1]].astype(float) @ emit[:, later].T.astype(float)
+            moves += alpha[:, later - offsets[time] + offsets[time - 1]] @ emit[:, later].T
             heads = self.place[own] == 0
-            start += beta[:, : offsets[1]][:, heads].sum(axis=1, dtype=float)
+            start += beta[:, : offsets[1]][:, heads].sum(axis=1)
             seams.append(own[~heads])
-            weights.append(emit[:, : offsets[1]][:, ~heads].astype(float))
+            weights.append(emit[:, : offsets[1]][:, ~heads])
         moves += last[:, np.concatenate(seams) - 1] @ np.concatenate(weights, axis=1).T
         return start, m.move * moves, emitted
 
