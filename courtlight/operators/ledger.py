@@ -141,10 +141,6 @@ def _in_order(actions: DataFrame, order: list[str]) -> DataFrame:
     return actions.repartition("take").sortWithinPartitions(F.col("take").asc_nulls_first(), *[F.col(c).asc_nulls_first() for c in order])
 
 
-def _rows(batches: Iterable[pa.RecordBatch]) -> Iterator[list[dict]]:
-    return (batch.to_pylist() for batch in batches)
-
-
 def ingested(actions: DataFrame, grace_ms: int = GRACE_MS) -> DataFrame:
     """take and RESULT of every action (columns ACTION), in order of arrival and id: its verdict and the state behind it.
 
@@ -184,6 +180,29 @@ def live(results: DataFrame) -> DataFrame:
     return results.filter("verdict = 'accepted'").groupBy("take").agg(last.alias("s")).select("take", "s.*")
 
 
+def played(actions: DataFrame) -> DataFrame:
+    """take, action_id, kind and the play behind each action that is not undone, by either rule set.
+
+    actions: as replayed has them. Unknown and null kinds change nothing; a null rule set is side-out.
+    """
+    kind = actions.schema["take"].dataType.simpleString()
+    own = _in_order(actions.filter(~F.coalesce("undone", F.lit(False))).select("take", "action_id", "revision", "created_ms", "kind", "server", "a", "b", "ruleset"), ["revision", "created_ms", "action_id"])
+
+    def fold(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, play = None, None
+        for batch in batches:
+            out = []
+            for x in batch.to_pylist():
+                if play is None or x["take"] != key:
+                    key, play = x["take"], Play()
+                play = step(play, x["kind"], x["server"], x["a"], x["b"], x["ruleset"])
+                out.append({"take": key, "action_id": x["action_id"], "kind": x["kind"], **asdict(play)})
+            plays = [t for t in _RESULT_TYPES if t[0] not in ("action_id", "verdict", "revision")]
+            yield pa.RecordBatch.from_pylist(out, pa.schema([("take", batch.schema.field("take").type), ("action_id", pa.int64()), ("kind", pa.string()), *plays]))
+
+    return own.mapInArrow(fold, f"take {kind}, action_id long, kind string, {PLAY}")
+
+
 FACTS = ["server", "a", "b", "games_a", "games_b", "phase"]
 _FACT_TYPES = [("server", pa.string()), ("a", pa.int32()), ("b", pa.int32()), ("games_a", pa.int32()), ("games_b", pa.int32()), ("phase", pa.string())]
 #: Actions after which a correction no longer reaches back to the rally before.

@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 
 from .intervals import merged
 
-SCORE = "struct<server:string,a:int,b:int,games_a:int,games_b:int,serve_only:boolean,done:boolean>"
-TARGET, SERVE_ONLY_FROM, GAMES = 21, 20, 3
-
 
 def play_states(windows: DataFrame, enter: float = 0.75, stay: float = 0.55, sure: float = 0.65, coverage: float = 0.75, least_ms: int = 500) -> DataFrame:
     """State of each window (key, center_ms, p, q, coverage): rally_active, non_play or unknown.
@@ -49,37 +46,6 @@ def effective_windows(events: DataFrame, duration_ms: int) -> DataFrame:
     return merged(spans.filter("start IS NOT NULL").select("take", "start", "end"), "take")
 
 
-def scored(actions: DataFrame, take: str, order: list[str]) -> DataFrame:
-    """State of play after all actions of each take (winner A or B, validity), under rally scoring to 21.
-
-    At 20 all only the server scores; the winner of a rally serves next; a game won starts the next one at 0 : 0, served by
-    its winner; three games win the match, after which nothing counts. Replays and other winners change nothing. A
-    take's actions are its ledger, one match; the fold keeps one state.
-    """
-    own = actions.groupBy(take).agg(F.sort_array(F.collect_list(F.struct(*order, "winner", "validity"))).alias("ledger"))
-    start = F.struct(F.lit("A").alias("server"), F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(0).alias("games_a"), F.lit(0).alias("games_b"), F.lit(False).alias("serve_only"), F.lit(False).alias("done")).cast(SCORE)
-
-    def step(s: Column, x: Column) -> Column:
-        counts = ~s["done"] & x["winner"].isin("A", "B") & (F.coalesce(x["validity"], F.lit("valid")) != "replay")
-        scores = counts & (~s["serve_only"] | (x["winner"] == s["server"]))
-        a = s["a"] + F.when(scores & (x["winner"] == "A"), 1).otherwise(0)
-        b = s["b"] + F.when(scores & (x["winner"] == "B"), 1).otherwise(0)
-        over = (a == TARGET) | (b == TARGET)
-        games_a, games_b = s["games_a"] + F.when(a == TARGET, 1).otherwise(0), s["games_b"] + F.when(b == TARGET, 1).otherwise(0)
-        after = F.struct(
-            F.when(counts, x["winner"]).otherwise(s["server"]).alias("server"),
-            F.when(over, 0).otherwise(a).alias("a"),
-            F.when(over, 0).otherwise(b).alias("b"),
-            games_a.alias("games_a"),
-            games_b.alias("games_b"),
-            (~over & (a == SERVE_ONLY_FROM) & (b == SERVE_ONLY_FROM)).alias("serve_only"),
-            ((games_a == GAMES) | (games_b == GAMES)).alias("done"),
-        )
-        return F.when(counts, after.cast(SCORE)).otherwise(s)
-
-    return own.select(take, F.aggregate("ledger", start, step).alias("s")).select(take, "s.*")
-
-
 def pairing_plan(nearest: DataFrame, by: str, order: list[str], frame: str, strict: bool = False) -> DataFrame:
     """Rows of an as-of join (status, frame) that go back in frames become non_monotonic, without a frame.
 

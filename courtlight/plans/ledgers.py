@@ -111,6 +111,18 @@ def _facts_sql(name: str, where: str) -> str:
   FROM {name}_rally WHERE k_kind IN ('start_next_rally', 'correct_score') GROUP BY take, part HAVING count(*) FILTER (WHERE k_kind = 'start_next_rally') > 0)"""
 
 
+@query(
+    "win_16_scoring",
+    f"""WITH RECURSIVE x AS (SELECT *, row_number() OVER (PARTITION BY take ORDER BY revision, created_ms, action_id) AS n FROM ({plain(LEDGER)}) WHERE NOT undone),
+r AS (SELECT take, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS action_id, CAST(NULL AS VARCHAR) AS k_kind, {_START} FROM (SELECT DISTINCT take FROM x)
+  UNION ALL {_next_play(f'''SELECT r.take, x.n, x.action_id, {", ".join("r." + c.strip() for c in PLAY_COLUMNS.split(","))}, x.kind AS k_kind, x.server AS k_server, x.a AS k_a, x.b AS k_b, x.ruleset AS k_ruleset
+    FROM r JOIN x ON x.take = r.take AND x.n = r.n + 1''', "take, n, action_id, k_kind")})
+SELECT take, action_id, k_kind AS kind, {PLAY_COLUMNS} FROM r WHERE n > 0""",
+)
+def scoring(spark: SparkSession, sf: str) -> DataFrame:
+    return ledger.played(view(spark, sf, LEDGER))
+
+
 @query("str_03_replay", "WITH RECURSIVE " + _facts_sql("derived", "NOT undone") + " SELECT take, action_id, facts.* FROM derived")
 def replayed(spark: SparkSession, sf: str) -> DataFrame:
     return ledger.replayed(view(spark, sf, LEDGER))

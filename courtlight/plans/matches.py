@@ -352,23 +352,6 @@ def play_states(spark: SparkSession, sf: str) -> DataFrame:
     return matches.play_states(windows, coverage=0.25)
 
 
-@query(
-    "win_16_scoring",
-    """WITH RECURSIVE x AS (SELECT user_id % 100 AS take, row_number() OVER (PARTITION BY user_id % 100 ORDER BY event_id) AS i, CASE event_type WHEN 'signup' THEN 'A' WHEN 'purchase' THEN 'B' WHEN 'click' THEN 'A' ELSE NULL END AS w, event_id % 10 = 0 AS replay FROM events),
-    r AS (SELECT take, CAST(0 AS BIGINT) AS i, 'A' AS server, 0 AS a, 0 AS b, 0 AS ga, 0 AS gb FROM (SELECT DISTINCT take FROM x)
-      UNION ALL SELECT take, i, CASE WHEN counts THEN w ELSE server END, CASE WHEN na = 21 OR nb = 21 THEN 0 ELSE na END, CASE WHEN na = 21 OR nb = 21 THEN 0 ELSE nb END, ga + CASE WHEN na = 21 THEN 1 ELSE 0 END, gb + CASE WHEN nb = 21 THEN 1 ELSE 0 END
-      FROM (SELECT *, a + CASE WHEN scores AND w = 'A' THEN 1 ELSE 0 END AS na, b + CASE WHEN scores AND w = 'B' THEN 1 ELSE 0 END AS nb
-        FROM (SELECT *, counts AND (NOT (a = 20 AND b = 20) OR w = server) AS scores
-          FROM (SELECT r.take, x.i, server, a, b, ga, gb, w, ga < 3 AND gb < 3 AND w IS NOT NULL AND NOT replay AS counts FROM r JOIN x ON r.take = x.take AND x.i = r.i + 1))))
-    SELECT take, max_by(server, i) AS server, max_by(a, i) AS a, max_by(b, i) AS b, max_by(ga, i) AS games_a, max_by(gb, i) AS games_b, max_by(a = 20 AND b = 20, i) AS serve_only, max_by(ga = 3 OR gb = 3, i) AS done FROM r GROUP BY take""",
-)
-def scoring(spark: SparkSession, sf: str) -> DataFrame:
-    kind = F.col("event_type")
-    winner = F.when(kind.isin("signup", "click"), "A").when(kind == "purchase", "B")
-    actions = read(spark, sf, "events").select((F.col("user_id") % 100).alias("take"), "event_id", winner.alias("winner"), F.when(_e() % 10 == 0, "replay").otherwise("valid").alias("validity"))
-    return matches.scored(actions, "take", ["event_id"])
-
-
 @query("win_19_sequence_windows", "WITH n AS (SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS i, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem) SELECT l_orderkey, i AS start, i + 3 AS \"end\" FROM n WHERE i % 2 = 0 AND i + 3 <= n")
 def sequence_windows(spark: SparkSession, sf: str) -> DataFrame:
     """Windows of three rows, every two rows, that fit."""

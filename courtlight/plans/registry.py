@@ -316,7 +316,7 @@ def _(spark, sf):
     return read(spark, sf, "orders").groupBy("o_orderstatus").agg(F.min_by("o_orderkey", F.struct("o_orderpriority", "o_orderdate", "o_orderkey")).alias("o_orderkey"))
 
 
-@query("str_01_windowed_counts", "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+@query("str_13_windowed_counts", "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def _(spark, sf):
     found = windowed_counts(read(spark, sf, "events"))
     return found.withColumns({"start": F.col("start").cast("timestamp_ntz"), "total": _r("total", 4)})
