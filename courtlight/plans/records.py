@@ -2,28 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from courtlight.functions import court
+from courtlight.operators.evidence import finite
 from courtlight.plans.registry import CLICKS, POINTS, _r, _two_views, query
-from courtlight.sources.adapters import MS, read, track_points
+from courtlight.sources.adapters import MS, read, track_points, view
+from courtlight.sources.folders import new_folder
 
 
 def _events(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "events").withColumn("t_ms", F.expr(MS))
 
 
-def _folder(spark: SparkSession, what: str) -> str:
-    """A new folder where the cluster keeps its checkpoints; a local one only where it names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}"
-    return f"{named.rstrip('/')}/{what}-{uuid.uuid4().hex}"
-
-
 EV = "ev AS (SELECT *, epoch_us(ts) // 1000 AS t_ms FROM events)"
 RANK = {"1-URGENT": 0, "2-HIGH": 1, "3-MEDIUM": 2, "4-NOT SPECIFIED": 3, "5-LOW": 4}
 
@@ -103,13 +97,19 @@ def geometry(spark: SparkSession, sf: str) -> DataFrame:
     return track_points(spark, sf).select("frame_index", _r(F.hypot(x, y)).alias("far"), _r(F.degrees(F.atan2(y, x + 5))).alias("angle"), _r(F.greatest(F.lit(0.0), F.least(F.lit(1.0), x / 20))).alias("share"))
 
 
-@query("fun_03_finite_values", "WITH t AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'nan' WHEN 1 THEN 'x' WHEN 2 THEN CAST(-event_id AS VARCHAR) ELSE CAST(event_id AS VARCHAR) END AS s FROM events) SELECT event_id, CASE WHEN event_id % 4 IN (2, 3) AND try_cast(s AS DOUBLE) >= 0 THEN CAST(round(try_cast(s AS DOUBLE) * 1000) AS BIGINT) END AS ms FROM t")
+SAID = """CASE event_id % 8 WHEN 0 THEN 'nan' WHEN 1 THEN 'x' WHEN 2 THEN 'Infinity' WHEN 3 THEN '1e30' WHEN 4 THEN '' WHEN 5 THEN CAST(-event_id AS VARCHAR(20)) WHEN 6 THEN CAST(event_id AS VARCHAR(20)) END"""
+
+
+@query(
+    "fun_03_finite_values",
+    f"""WITH t AS (SELECT event_id, try_cast({SAID} AS DOUBLE) AS v FROM events)
+SELECT event_id, CASE WHEN isfinite(v) AND v >= 0 AND v < 9e15 THEN CAST(round(v * 1000) AS BIGINT) END AS ms FROM t""",
+)
 def finite_values(spark: SparkSession, sf: str) -> DataFrame:
-    """Seconds as text to milliseconds: no number, not finite, or negative gives null."""
-    e = F.col("event_id")
-    said = F.when(e % 4 == 0, "nan").when(e % 4 == 1, "x").when(e % 4 == 2, (-e).cast("string")).otherwise(e.cast("string"))
-    v = F.col("s").try_cast("double")
-    return read(spark, sf, "events").select("event_id", said.alias("s")).select("event_id", F.when(~F.isnan(v) & (v >= 0), F.round(v * 1000).cast("long")).alias("ms"))
+    """Seconds as text to milliseconds: no number, not finite, negative or beyond a long gives null."""
+    said = view(spark, sf, f"SELECT event_id, {SAID.replace('VARCHAR(20)', 'STRING')} AS s FROM {{events}}")
+    v = finite(F.col("s"))
+    return said.select("event_id", F.when((v >= 0) & (v < 9e15), F.round(v * 1000).cast("long")).alias("ms"))
 
 
 @query("fun_04_time_deltas", "SELECT o_orderkey, date_diff('day', TIMESTAMP '1990-01-01', o_orderdate) AS days, epoch_ms(o_orderdate + INTERVAL 90 MINUTE) AS until_ms FROM orders")
@@ -325,7 +325,7 @@ def session_windows(spark: SparkSession, sf: str) -> DataFrame:
 def json_write(spark: SparkSession, sf: str) -> DataFrame:
     """Written as JSON with Spark's commit, and read back with its schema; broken lines would be null."""
     rows = read(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
-    rows.write.mode("overwrite").json(path := _folder(spark, "json"))
+    rows.write.mode("overwrite").json(path := new_folder(spark, "json"))
     return spark.read.schema(rows.schema).option("mode", "PERMISSIVE").json(path)
 
 
@@ -333,7 +333,7 @@ def json_write(spark: SparkSession, sf: str) -> DataFrame:
 def trajectory_csv(spark: SparkSession, sf: str) -> DataFrame:
     """Fixed columns with a header, sorted by player within files."""
     rows = track_points(spark, sf).select("track_id", "frame_index", _r("x_ft", 3).alias("x_ft"), _r("y_ft", 3).alias("y_ft"))
-    rows.repartition("track_id").sortWithinPartitions("track_id", "frame_index").write.mode("overwrite").option("header", True).csv(path := _folder(spark, "csv"))
+    rows.repartition("track_id").sortWithinPartitions("track_id", "frame_index").write.mode("overwrite").option("header", True).csv(path := new_folder(spark, "csv"))
     return spark.read.schema(rows.schema).option("header", True).csv(path)
 
 
@@ -341,6 +341,6 @@ def trajectory_csv(spark: SparkSession, sf: str) -> DataFrame:
 def playback_chunks(spark: SparkSession, sf: str) -> DataFrame:
     """Chunks of a day by view as folders; a reader of one view opens its folders only."""
     rows = _events(spark, sf).select("event_id", "event_type", F.floor(F.col("t_ms") / 86_400_000).alias("chunk"))
-    rows.repartition("event_type", "chunk").write.mode("overwrite").partitionBy("event_type", "chunk").parquet(path := _folder(spark, "chunks"))
+    rows.repartition("event_type", "chunk").write.mode("overwrite").partitionBy("event_type", "chunk").parquet(path := new_folder(spark, "chunks"))
     back = spark.read.schema("event_id long, event_type string, chunk long").parquet(path)
     return back.filter("event_type = 'view'").groupBy("event_type", "chunk").agg(F.count("*").alias("n"))
