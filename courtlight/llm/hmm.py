@@ -24,8 +24,8 @@ STATES, CLASSES, SUFFIX = 8, 512, 3
 SYMBOL_WORDS, HELD_WORDS = 8_000, 120_000
 #: Training: Baum-Welch rounds, each over all training documents.
 ROUNDS = 7
-#: Symbols of a chunk and of a block: the variables of a block are held at a time, some 10 MB.
-CHUNK, BLOCK = 64, 1 << 14
+#: Symbols of a chunk and of a block: the variables of a block are held at a time, some 20 MB.
+CHUNK, BLOCK = 32, 1 << 15
 #: Bytes of symbols that become chunks together, or one text's.
 SLICE_BYTES = 1 << 19
 #: Weight of the corpus distribution in each state's emissions, in tokens.
