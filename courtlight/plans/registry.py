@@ -327,3 +327,4 @@ from courtlight.plans import records as _records  # noqa: E402, F401
 from courtlight.plans import evidence as _evidence  # noqa: E402, F401
 from courtlight.plans import cameras as _cameras  # noqa: E402, F401
 from courtlight.plans import ledgers as _ledgers  # noqa: E402, F401
+from courtlight.plans import segments as _segments  # noqa: E402, F401
