@@ -192,14 +192,6 @@ def consume_once(spark: SparkSession, sf: str) -> DataFrame:
     return _plan(spark, sf, True)
 
 
-@query("jon_06_timeline", "SELECT a.event_id, b.event_id AS secondary, CASE WHEN b.event_id IS NULL THEN 'unavailable' ELSE 'available' END AS status FROM events a LEFT JOIN (SELECT * FROM events WHERE event_type = 'view') b ON b.event_id = a.event_id + 1 WHERE a.event_type = 'click'")
-def timeline_of_views(spark: SparkSession, sf: str) -> DataFrame:
-    events = read(spark, sf, "events")
-    second = events.filter("event_type = 'view'").select(_e().alias("secondary"))
-    joined = events.filter("event_type = 'click'").join(second, _e() + 1 == F.col("secondary"), "left")
-    return joined.select("event_id", "secondary", F.when(F.col("secondary").isNull(), "unavailable").otherwise("available").alias("status"))
-
-
 @query("jon_21_unique_reference", "WITH k AS (SELECT o_custkey, o_orderdate, count(*) AS n, min(o_orderkey) AS k FROM orders GROUP BY ALL) SELECT o_custkey, o_orderdate, CASE WHEN n = 1 THEN k END AS o_orderkey, CASE WHEN n = 1 THEN 'ok' ELSE 'ambiguous' END AS status FROM k")
 def unique_reference(spark: SparkSession, sf: str) -> DataFrame:
     """A reference by customer and day names an order only if there is just one."""
@@ -278,11 +270,6 @@ def hit_attribution(spark: SparkSession, sf: str) -> DataFrame:
     return ranked.filter("k = 1").select("hit", "player", _r("score").alias("score"), status.alias("status"))
 
 
-@query("agg_28_recovery_episodes", "WITH " + EV + " SELECT user_id, event_id // 50 AS episode, min(t_ms) AS start_ms, max(t_ms) AS end_ms, count(*) FILTER (WHERE event_type = 'error') AS failures, max_by(event_type, event_id) AS outcome FROM ev GROUP BY ALL")
-def recovery_episodes(spark: SparkSession, sf: str) -> DataFrame:
-    return _events(spark, sf).groupBy("user_id", F.floor(_e() / 50).alias("episode")).agg(F.min("t_ms").alias("start_ms"), F.max("t_ms").alias("end_ms"), F.count_if(F.col("event_type") == "error").alias("failures"), F.max_by("event_type", "event_id").alias("outcome"))
-
-
 @query("agg_31_ablation_report", "SELECT l_returnflag, round(avg(l_quantity) FILTER (WHERE l_linestatus = 'F'), 6) AS f, round(avg(l_quantity) FILTER (WHERE l_linestatus = 'O'), 6) AS o FROM lineitem GROUP BY 1")
 def ablation_report(spark: SparkSession, sf: str) -> DataFrame:
     table = read(spark, sf, "lineitem").groupBy("l_returnflag").pivot("l_linestatus", ["F", "O"]).agg(F.avg("l_quantity"))

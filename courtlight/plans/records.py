@@ -56,9 +56,10 @@ def union_of_evidence(spark: SparkSession, sf: str) -> DataFrame:
     return base.select("event_id", F.lit("bounce").alias("kind")).unionByName(more.select("event_id", F.lit("hit").alias("kind")))
 
 
-@query("set_02_difference", "SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders")
+@query("set_02_difference", "SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'P'")
 def difference(spark: SparkSession, sf: str) -> DataFrame:
-    return read(spark, sf, "customer").select("c_custkey").subtract(read(spark, sf, "orders").select("o_custkey"))
+    """Customers without a pending order."""
+    return read(spark, sf, "customer").select("c_custkey").subtract(read(spark, sf, "orders").filter("o_orderstatus = 'P'").select("o_custkey"))
 
 
 @query("set_03_distinct_sorted_ids", "SELECT c_custkey, coalesce(string_agg(DISTINCT CAST(o_orderkey % 7 AS VARCHAR), ',' ORDER BY CAST(o_orderkey % 7 AS VARCHAR)), 'none') AS ids FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1")
@@ -250,14 +251,6 @@ def anchor_coverage(spark: SparkSession, sf: str) -> DataFrame:
     return found.groupBy("user_id").agg(F.min("t_ms").alias("first_ms"), F.max("t_ms").alias("last_ms"), F.count("right_t").alias("matched"), F.count("*").alias("anchors"))
 
 
-@query("ts_10_health_score", "SELECT user_id, round(sum(w * value) / sum(w), 9) AS score FROM (SELECT user_id, CASE event_type WHEN 'click' THEN 0.5 WHEN 'view' THEN 0.3 WHEN 'purchase' THEN 0.2 END AS w, value FROM events) WHERE w IS NOT NULL GROUP BY 1")
-def health_score(spark: SparkSession, sf: str) -> DataFrame:
-    """A weighted mean over the parts that are there."""
-    kind = F.col("event_type")
-    own = read(spark, sf, "events").withColumn("w", F.when(kind == "click", 0.5).when(kind == "view", 0.3).when(kind == "purchase", 0.2)).filter("w IS NOT NULL")
-    return own.groupBy("user_id").agg(_r(F.sum(F.col("w") * F.col("value")) / F.sum("w"), 9).alias("score"))
-
-
 @query("ts_11_outbox", "SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_type <> 'error', event_id) AS sequence FROM events")
 def outbox(spark: SparkSession, sf: str) -> DataFrame:
     """Pending actions first, then in the order in which they came."""
@@ -299,12 +292,6 @@ def inactive_takes(spark: SparkSession, sf: str) -> DataFrame:
     return last.join(F.broadcast(now)).select("user_id", F.when(F.col("last_ms") >= F.col("now") - 21_600_000, "active").otherwise("interrupted").alias("status"))
 
 
-@query("str_11_progress", "SELECT user_id, event_type, max(value) AS progress FROM events GROUP BY ALL")
-def progress(spark: SparkSession, sf: str) -> DataFrame:
-    """Progress of a stage never falls: the most that was reported."""
-    return read(spark, sf, "events").groupBy("user_id", "event_type").agg(F.max("value").alias("progress"))
-
-
 @query("str_13_sliding_windows", "WITH w AS (SELECT ts, event_type, unnest([date_trunc('day', ts), date_trunc('day', ts) - INTERVAL 1 DAY]) AS start FROM events) SELECT start, event_type, count(*) AS n FROM w GROUP BY ALL")
 def sliding_windows(spark: SparkSession, sf: str) -> DataFrame:
     """Windows of two days, a new one each day."""

@@ -168,11 +168,6 @@ def _(spark, sf):
     return tracks.spikes(track_points(spark, sf), 15.005)
 
 
-@query("win_10_suppression")
-def _(spark, sf):
-    return tracks.suppressed(track_points(spark, sf), 21_600_000)
-
-
 @query("win_13_ewma", POINTS + """, o AS (SELECT track_id, t_ms, x_ft, y_ft, row_number() OVER w AS i, lag(x_ft) OVER w AS px, lag(y_ft) OVER w AS py, lag(t_ms) OVER w AS pt FROM track_points WINDOW w AS (PARTITION BY track_id ORDER BY t_ms, frame_index)),
  h AS (SELECT *, coalesce(sqrt((x_ft-px)*(x_ft-px)+(y_ft-py)*(y_ft-py)) > greatest(t_ms - pt, 0) / 1000 * 0.0005, false) AS held FROM o),
  r AS (SELECT track_id, list(struct_pack(x := x_ft, y := y_ft, h := held) ORDER BY i) AS l FROM h GROUP BY 1),
@@ -328,3 +323,5 @@ from courtlight.plans import evidence as _evidence  # noqa: E402, F401
 from courtlight.plans import cameras as _cameras  # noqa: E402, F401
 from courtlight.plans import ledgers as _ledgers  # noqa: E402, F401
 from courtlight.plans import segments as _segments  # noqa: E402, F401
+from courtlight.plans import bounces as _bounces  # noqa: E402, F401
+from courtlight.plans import observability as _observability  # noqa: E402, F401
