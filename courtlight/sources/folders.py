@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def new_folder(spark: SparkSession, what: str) -> str:
@@ -24,3 +24,9 @@ def new_folder(spark: SparkSession, what: str) -> str:
         else:
             raise RuntimeError("spark.checkpoint.dir is not set: executors and driver share no folder")
     return f"{named.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, what: str) -> DataFrame:
+    """df as a table in the shared folder, read back: computed once, and again only from there if executors are lost."""
+    df.write.parquet(path := new_folder(df.sparkSession, what))
+    return df.sparkSession.read.schema(df.schema).parquet(path)
