@@ -325,3 +325,4 @@ from courtlight.plans import ledgers as _ledgers  # noqa: E402, F401
 from courtlight.plans import segments as _segments  # noqa: E402, F401
 from courtlight.plans import bounces as _bounces  # noqa: E402, F401
 from courtlight.plans import observability as _observability  # noqa: E402, F401
+from courtlight.plans import insights as _insights  # noqa: E402, F401
