@@ -23,7 +23,7 @@ from .common import materialise, text_of, trim
 #: Bits of the map, as a power of two: 16 MB.
 BITS = 27
 #: Bytes of text counted together.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 #: Seed of the hash of words, the same for Spark's function and the library's.
 SEED = 42
 #: Turns the hash of a phrase before the next word's is added.
