@@ -18,10 +18,12 @@ PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of every document in sequences. A null or empty text is its end id alone; equal and repeated rows are packed one by one; an empty table gives none."""
     return packing.pack_documents(table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score of every document. Null and empty texts are scored too, equal texts alike; without labelled documents all score below one half; an empty table gives no row."""
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     scored = toxicity.score(docs.select("doc_id", "text"), model, out="score")
@@ -29,10 +31,12 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_bit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans and digests of every document, read back from the files, by id (nulls first). A null or empty text is the end id alone; repeated rows stay rows; an empty table gives none."""
     return binary.read_documents(binary.write_files(table(spark, sf_dir, "documents"), WORD_BPE, end_id=2))
 
 
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation and the probe, read back from the written form. Null texts are empty, null roles are no role; turns of one number come by role and text; repeats stay."""
     turns = chat.probe(table(spark, sf_dir, "conversations")).withColumn("parts", chat.parts_of_text(F.col("text")))
     written = materialise(chat.format_chats(turns), "chats")
     back = written.select("conv_id", "formatted", chat.read_turns(F.col("formatted")).alias("turns"), chat.read_loss(F.col("formatted"), F.col("loss_spans")).alias("loss"), "expanded_tokens")
@@ -71,16 +75,19 @@ FROM said GROUP BY conv_id
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document. Null, empty and wordless texts have fingerprint zero and are linked; repeated rows stay; an empty table gives none."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document. Null texts and those without a letter are `und`; equal texts are judged alike, ties go to the first language by name."""
     docs = table(spark, sf_dir, "documents")
     found = langid.predict(docs.select("doc_id", "text"), langid.fit(docs))
     return found.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), F.col("language.lang").alias("lang_pred"), F.col("language.score").alias("score"), F.col("language.ambiguous").alias("ambiguous"))
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures and verdict of every document. A null text has no words and fails; repeated rows stay; an empty table gives none."""
     judged = rules.ledger(table(spark, sf_dir, "documents"))
     base = ~rules.passes(rules.BASE)
     return judged.select("doc_id", *[f"ledger.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], base.alias("base_failed"), (~base & rules.passes(rules.POLICY)).alias("kept"), "ledger.fail_bits")
@@ -122,16 +129,19 @@ def n_words() -> Column:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, budget and copies of every document. Null languages and sources are leaves of their own; ties of rank go by id; an empty table gives no row."""
     docs = table(spark, sf_dir, "documents").withColumn("domain", domain())
     mixed = mixing.mix(docs, PATH, WEIGHTS, n_words(), total_share=0.8, epochs=2.0, seed=9)
     return mixed.select("doc_id", *PATH, "leaf_budget", "copies")
 
 
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every document. A null or empty text is its end alone; equal texts score alike but for rounding; without training documents all words are unknown."""
     return hmm.score_documents(table(spark, sf_dir, "documents"))
 
 
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored form and features of every document. A null or empty text is one block of spaces; equal texts have equal values; an empty table gives no row."""
     return media.read_media(media.write_media(table(spark, sf_dir, "documents")))
 
 
