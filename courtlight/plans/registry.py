@@ -327,3 +327,4 @@ from courtlight.plans import bounces as _bounces  # noqa: E402, F401
 from courtlight.plans import observability as _observability  # noqa: E402, F401
 from courtlight.plans import insights as _insights  # noqa: E402, F401
 from courtlight.plans import snapshots as _snapshots  # noqa: E402, F401
+from courtlight.plans import zones as _zones  # noqa: E402, F401
