@@ -93,7 +93,7 @@ def ewma(points: DataFrame, alpha: float = 0.45, max_fps: float = 30.0) -> DataF
     return _folded(points, start, step, ["x_ft", "y_ft"]).select("track_id", F.col("state.n").alias("n"), F.col("state.sx").alias("x_smooth"), F.col("state.sy").alias("y_smooth"), F.col("state.held").alias("held"))
 
 
-def suppressed(points: DataFrame, min_gap_ms: int) -> DataFrame:
+def suppressed(points: DataFrame, min_gap_ms: float) -> DataFrame:
     """Greedy suppression in time: the most confident first, each kept if no kept one of its track is within the gap.
 
     Ties go to the earlier point. A track is cut wherever its points are at least the gap apart, as what stands on

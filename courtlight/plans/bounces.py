@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from courtlight.operators import bounces, tracks
+from courtlight.operators import bounces, contacts, tracks
 from courtlight.plans.registry import _r, query
 from courtlight.sources.adapters import plain, track_points, view
 
@@ -60,12 +60,12 @@ def bounce_scores(spark: SparkSession, sf: str) -> DataFrame:
     return found.withColumn("turn", _r("turn", 4)).drop("x", "y", "court_x", "court_y")
 
 
-def _greedy_sql(source: str, key: str, at: str, value: str, gap: int, tie: str) -> str:
+def _greedy_sql(source: str, key: str, at: str, value: str, gap: float, tie: str, kind: str = "BIGINT") -> str:
     """Rows of `source` that greedy suppression keeps: the largest value first, none within the gap of a kept one."""
     return f"""
 ranked AS (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY {value} DESC, {at}, {tie}) AS n FROM {source}),
 walk AS (
-  SELECT {key}, CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS held, false AS kept FROM (SELECT DISTINCT {key} FROM ranked)
+  SELECT {key}, CAST(0 AS BIGINT) AS n, CAST([] AS {kind}[]) AS held, false AS kept FROM (SELECT DISTINCT {key} FROM ranked)
   UNION ALL SELECT {key}, n, CASE WHEN free THEN list_append(held, spot) ELSE held END, free
   FROM (SELECT w.{key}, r.n, w.held, r.{at} AS spot, len(list_filter(w.held, lambda h: abs(h - r.{at}) < {gap})) = 0 AS free FROM walk w JOIN ranked r ON r.{key} = w.{key} AND r.n = w.n + 1))"""
 
@@ -95,3 +95,37 @@ def bounce_events(spark: SparkSession, sf: str) -> DataFrame:
 )
 def suppression(spark: SparkSession, sf: str) -> DataFrame:
     return tracks.suppressed(track_points(spark, sf), 21_600_000)
+
+
+#: The same ball at a camera's pace, with breaks in its path, stretches without a place, and a jump now and then.
+SHOTS = """SELECT user_id AS track, event_id AS frame, CAST(event_id / 2000.0 + CASE WHEN event_id % 900 > 860 THEN 0.2 ELSE 0 END AS DOUBLE) AS t,
+  CASE WHEN event_id % 211 = 0 THEN NULL WHEN event_id % 307 = 0 THEN CAST('Infinity' AS DOUBLE) ELSE CAST(200 + abs(event_id % 1700 - 850) * 0.9 + event_id * 37 % 7 AS DOUBLE) END AS x,
+  CAST(300 + abs(event_id % 1100 - 550) * 0.7 + event_id * 53 % 5 + CASE WHEN event_id % 97 = 0 THEN 90 ELSE 0 END AS DOUBLE) AS y FROM {events}"""
+
+
+def _arm(name: str) -> str:
+    return f"avg(vx) OVER {name}_steps AS {name}_vx, avg(vy) OVER {name}_steps AS {name}_vy, count(*) OVER {name}_arm AS {name}_n, list(x) OVER {name}_arm AS {name}_xs, list(y) OVER {name}_arm AS {name}_ys, regr_slope(y, x) OVER {name}_arm AS {name}_a, avg(x) OVER {name}_arm AS {name}_x, avg(y) OVER {name}_arm AS {name}_y"
+
+
+def _rough(name: str) -> str:
+    return f"list_sum(list_transform(range(1, 5), lambda i: abs(({name}_ys[i] - {name}_y) - CASE WHEN isfinite({name}_a) THEN {name}_a ELSE 0 END * ({name}_xs[i] - {name}_x)))) / 4"
+
+
+@query(
+    "win_11_contacts",
+    f"""WITH RECURSIVE p AS (SELECT * FROM ({plain(SHOTS)}) WHERE isfinite(x) AND isfinite(y)),
+g AS (SELECT *, t - lag(t) OVER w AS gap, (x - lag(x) OVER w) / (t - lag(t) OVER w) AS vx, (y - lag(y) OVER w) / (t - lag(t) OVER w) AS vy, count(*) OVER (PARTITION BY track) AS n FROM p WINDOW w AS (PARTITION BY track ORDER BY frame)),
+a AS (SELECT *, min(gap) OVER c AS g0, max(gap) OVER c AS g1, {_arm("i")}, {_arm("o")} FROM g
+  WINDOW c AS (PARTITION BY track ORDER BY frame ROWS BETWEEN 3 PRECEDING AND 4 FOLLOWING), i_arm AS (PARTITION BY track ORDER BY frame ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING), o_arm AS (PARTITION BY track ORDER BY frame ROWS BETWEEN 1 FOLLOWING AND 4 FOLLOWING),
+    i_steps AS (PARTITION BY track ORDER BY frame ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), o_steps AS (PARTITION BY track ORDER BY frame ROWS BETWEEN 2 FOLLOWING AND 4 FOLLOWING)),
+b AS (SELECT *, sqrt(i_vx * i_vx + i_vy * i_vy) AS s0, sqrt(o_vx * o_vx + o_vy * o_vy) AS s1 FROM a WHERE n >= 10 AND i_n = 4 AND o_n = 4 AND g0 > 0 AND g1 <= 0.12),
+c AS (SELECT *, CASE WHEN s0 * s1 > 1e-6 THEN degrees(acos(greatest(-1, least(1, (i_vx * o_vx + i_vy * o_vy) / (s0 * s1))))) ELSE 0 END AS turn, greatest(s0, s1) / greatest(least(s0, s1), 1e-6) AS ratio, {_rough("i")} AS r0, {_rough("o")} AS r1 FROM b),
+found AS (SELECT track, frame, t, r0 > 18 OR r1 > 18 AS rough, CASE WHEN r0 > 18 OR r1 > 18 THEN 0 ELSE round(greatest(0.05, 0.6 * least(1, turn / 90) + 0.4 * least(1, greatest(0, ratio - 1) / 1.5)), 3) END AS confidence, turn, ratio, r0, r1 FROM c WHERE turn >= 35 OR ratio >= 1.8),
+candidates AS (SELECT * FROM found WHERE NOT rough),"""
+    + _greedy_sql("candidates", "track", "t", "confidence", 10.0 / 30.0, "frame", "DOUBLE")
+    + """ SELECT track, frame, confidence, CASE WHEN rough THEN 'rejected_hit' WHEN kept THEN 'confirmed_hit' ELSE 'hit_candidate' END AS status, round(turn, 4) AS turn, round(ratio, 4) AS ratio, round(r0, 6) AS residual_in, round(r1, 6) AS residual_out
+FROM found LEFT JOIN (SELECT ranked.track, ranked.frame, walk.kept FROM ranked JOIN walk USING (track, n)) USING (track, frame)""",
+)
+def contact_events(spark: SparkSession, sf: str) -> DataFrame:
+    found = contacts.contacts(view(spark, sf, SHOTS)).drop("t")
+    return found.withColumns({"turn": _r("turn", 4), "ratio": _r("ratio", 4), "residual_in": _r("residual_in"), "residual_out": _r("residual_out")})
