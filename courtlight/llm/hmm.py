@@ -24,10 +24,12 @@ STATES, CLASSES, SUFFIX = 8, 512, 3
 SYMBOL_WORDS, HELD_WORDS = 8_000, 120_000
 #: Training: Baum-Welch rounds, each over all training documents.
 ROUNDS = 7
-#: Symbols of a chunk and of a block: the variables of a block are held at a time, some 20 MB.
-CHUNK, BLOCK = 32, 1 << 15
+#: Symbols of a chunk and of a block: the variables of a block are held at a time, some 30 MB.
+CHUNK, BLOCK = 256, 1 << 17
+#: Steps from scale to scale; the emissions of so many stay far from the smallest double.
+SCALED = 8
 #: Bytes of symbols that become chunks together, or one text's.
-SLICE_BYTES = 1 << 19
+SLICE_BYTES = 1 << 21
 #: Weight of the corpus distribution in each state's emissions, in tokens.
 PRIOR = 50.0
 #: The key of the end of a text in the table of counts; no word is empty.
@@ -179,7 +181,11 @@ class Sequences:
 
     A text is cut into chunks of CHUNK symbols, but nothing is cut off: what the forward variables are before a chunk, and
     the backward ones behind it, follows exactly from the products of the chunks' transition matrices. So the steps of
-    a pass are CHUNK, however long the texts, and a pass works on BLOCK symbols at a time.
+    a pass are CHUNK, however long the texts, and a pass works on BLOCK symbols at a time. A first chunk's end and a last
+    one's beginning are vectors, so that only the chunks between them need a product of matrices.
+
+    Variables are scaled every SCALED steps; a scale divides the emissions of its step, so that forward times backward
+    variables sum to the same all along a chunk.
     """
 
     def __init__(self, symbols: np.ndarray, lengths: np.ndarray):
@@ -194,105 +200,136 @@ class Sequences:
 
     def _blocks(self, chunks: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Chunks (longest first) of about BLOCK symbols, where each time's tokens begin, and the symbols in that order."""
-        for at in range(0, len(chunks), BLOCK // CHUNK):
-            own = chunks[at : at + BLOCK // CHUNK]
+        block = (np.cumsum(self.size[chunks]) - 1) // BLOCK
+        for own in np.split(chunks, np.nonzero(np.diff(block))[0] + 1) if len(chunks) else []:
             size = self.size[own]
             active = np.searchsorted(-size, -np.arange(int(size[0])), side="left")
             offsets = np.concatenate([[0], np.cumsum(active)])
-            time = np.repeat(np.arange(len(active)), active)
-            yield own, offsets, self.symbols[self.begin[own[np.arange(offsets[-1]) - offsets[time]]] + time]
-
-    def edges(self, m: Hmm) -> tuple[np.ndarray, np.ndarray]:
-        """The states' distribution before each chunk's first symbol, and the backward variables at its last (states x chunks)."""
+            symbols = np.empty(offsets[-1], np.int64)
+            begin = self.begin[own]
+            for time, (a, b) in enumerate(zip(offsets[:-1], offsets[1:], strict=True)):
+                symbols[a:b] = self.symbols[begin[: b - a] + time]
+            yield own, offsets, symbols
+
+    def _carried(self, m: Hmm, chunks: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """What rows of variables (rows x states) before whole chunks are at their last symbols: states x rows x chunks."""
+        table, step = np.ascontiguousarray(m.emit.T), np.ascontiguousarray(m.move.T)
+        out = [np.zeros((len(step), len(rows), 0))]
+        for own, offsets, symbols in self._blocks(chunks):
+            emit, k = np.take(table, symbols, axis=1), len(own)
+            now = np.einsum("rs,sk->srk", rows, emit[:, :k], order="C")
+            other = np.empty_like(now)
+            for time, a in enumerate(offsets[1:-1], 1):
+                np.matmul(step, now.reshape(len(step), -1), out=other.reshape(len(step), -1))
+                other *= emit[:, None, a : a + k]
+                now, other = other, now
+                if not time % SCALED:
+                    now /= now.max(axis=(0, 1))
+            out.append(now / now.max(axis=(0, 1)))
+        return np.concatenate(out, axis=2)
+
+    def _led(self, m: Hmm, chunks: np.ndarray) -> np.ndarray:
+        """The backward variables of chunks that end their texts times the emissions, at the chunks' first symbols (states x chunks)."""
+        table = np.ascontiguousarray(m.emit.T)
+        out = [np.zeros((len(table), 0))]
+        for own, offsets, symbols in self._blocks(chunks):
+            emit, later = np.take(table, symbols, axis=1), np.zeros((len(table), 0))
+            for time in range(len(offsets) - 2, -1, -1):
+                now = emit[:, offsets[time] : offsets[time + 1]]
+                now[:, : later.shape[1]] *= m.move @ later
+                if not time % SCALED:
+                    now /= now.max(axis=0)
+                later = now
+            out.append(later)
+        return np.concatenate(out, axis=1)
+
+    def edges(self, m: Hmm, both: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """The states' distribution before each chunk's first symbol, and (if both) the backward variables at its last (states x chunks)."""
         n, states = len(self.text), len(m.start)
         before, behind = np.repeat(m.start[:, None], n, axis=1), np.ones((states, n))
-        long = self.each[self.text] > 1
-        if not long.any():
+        final = self.place == self.each[self.text] - 1
+        head, middle = np.nonzero((self.place == 0) & ~final)[0], np.nonzero((self.place > 0) & ~final)[0]
+        if not len(head):
             return before, behind
-        slot = np.cumsum(long) - 1
-        product = np.empty((states, states, int(long.sum())))
-        table, step = np.ascontiguousarray(m.emit.T), np.ascontiguousarray(m.move.T)
-        for own, offsets, symbols in self._blocks(self.order[long[self.order]]):
-            emit = np.take(table, symbols, axis=1)
-            emit /= emit.max(axis=0)
-            now = emit[None, :, : offsets[1]] * np.eye(states)[:, :, None]
-            for time, (a, b) in enumerate(zip(offsets[1:-1], offsets[2:], strict=True), 1):
-                k = b - a
-                if k < now.shape[2]:
-                    product[:, :, slot[own[k : now.shape[2]]]] = now[:, :, k:]
-                    now = now[:, :, :k]
-                now = step @ now
-                now *= emit[None, :, a:b]
-                if not time % 8:
-                    now /= now.max(axis=(0, 1))
-            product[:, :, slot[own[: now.shape[2]]]] = now
-        product /= product.max(axis=(0, 1))
+        x = self._carried(m, head, m.start[None, :])[:, 0]
+        before[:, head + 1] = m.move.T @ (x / x.sum(axis=0))
+        product, slot = self._carried(m, middle, np.eye(states)), np.zeros(n, np.int64)
+        slot[middle] = np.arange(len(middle))
         most = int(self.each.max())
-        for k in range(1, most):
+        for k in range(2, most):
             c = self.first[self.each > k] + k
-            x = np.einsum("sc,stc->tc", before[:, c - 1], product[:, :, slot[c - 1]])
+            x = np.einsum("sc,tsc->tc", before[:, c - 1], product[:, :, slot[c - 1]])
             before[:, c] = m.move.T @ (x / x.sum(axis=0))
-        for k in range(most - 1, 0, -1):
-            c = self.first[self.each > k] + k
-            x = m.move @ np.einsum("stc,tc->sc", product[:, :, slot[c]], behind[:, c])
-            behind[:, c - 1] = x / x.max(axis=0)
+        if both:
+            last = self.order[(final & (self.place > 0))[self.order]]
+            x = m.move @ self._led(m, last)
+            behind[:, last - 1] = x / x.max(axis=0)
+            for k in range(most - 2, 0, -1):
+                c = self.first[self.each > k + 1] + k
+                x = m.move @ np.einsum("tsc,tc->sc", product[:, :, slot[c]], behind[:, c])
+                behind[:, c - 1] = x / x.max(axis=0)
         return before, behind
 
     def log10_likelihood(self, m: Hmm) -> np.ndarray:
         """Of each text, by the scaled forward recursion; the product of scales is the likelihood."""
-        before, out = self.edges(m)[0], np.zeros(len(self.lengths))
+        before, out = self.edges(m, both=False)[0], np.zeros(len(self.lengths))
         table, step = np.ascontiguousarray(m.emit.T), np.ascontiguousarray(m.move.T)
         for own, offsets, symbols in self._blocks(self.order):
-            emit, now, sums = np.take(table, symbols, axis=1), None, np.zeros(len(own))
-            for a, b in zip(offsets[:-1], offsets[1:], strict=True):
-                now = (before[:, own] if now is None else step @ now[:, : b - a]) * emit[:, a:b]
-                scale = now.sum(axis=0)
-                sums[: b - a] += np.log10(scale)
-                now /= scale
+            emit, sums = np.take(table, symbols, axis=1), np.zeros(len(own))
+            now = before[:, own] * emit[:, : len(own)]
+            for time, (a, b) in enumerate(zip(offsets[1:-1], offsets[2:], strict=True), 1):
+                if b - a < now.shape[1]:
+                    sums[b - a : now.shape[1]] += np.log10(now[:, b - a :].sum(axis=0))
+                now = step @ now[:, : b - a]
+                now *= emit[:, a:b]
+                if not time % SCALED:
+                    scale = now.sum(axis=0)
+                    sums[: b - a] += np.log10(scale)
+                    now /= scale
+            sums[: now.shape[1]] += np.log10(now.sum(axis=0))
             out += np.bincount(self.text[own], sums, len(out))
         return out
 
     def expected(self, m: Hmm) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Baum-Welch counts: of first states, of moves, of states by symbol."""
         size, states = m.emit.shape
-        start, moves, emitted = np.zeros(states), np.zeros((states, states)), np.zeros((size, states))
+        start, moves, emitted = np.zeros(states), np.zeros((states, states)), np.zeros((states, size))
         before, behind = self.edges(m)
-        table, move, step = np.ascontiguousarray(m.emit.T), m.move, np.ascontiguousarray(m.move.T)
+        table, step = np.ascontiguousarray(m.emit.T), np.ascontiguousarray(m.move.T)
         # forward variables at the ends of chunks, for the moves into the chunks behind them
         last = np.zeros((states, len(self.text)))
         seams, weights = [np.zeros(0, np.int64)], [np.zeros((states, 0))]
         for own, offsets, symbols in self._blocks(self.order):
             emit = np.take(table, symbols, axis=1)
-            alpha, beta = np.empty_like(emit), np.empty_like(emit)
-            now = None
-            for a, b in zip(offsets[:-1], offsets[1:], strict=True):
-                now = (before[:, own] if now is None else step @ now[:, : b - a]) * emit[:, a:b]
-                scale = now.sum(axis=0)
-                now /= scale
-                alpha[:, a:b] = now
-                emit[:, a:b] /= scale
-            last[:, own] = alpha[:, offsets[self.size[own] - 1] + np.arange(len(own))]
-            for t in range(len(offsets) - 2, -1, -1):
-                a, b = offsets[t], offsets[t + 1]
-                d = offsets[t + 2] if t + 2 < len(offsets) else b
-                beta[:, a : a + d - b] = move @ (emit[:, b:d] * beta[:, b:d])
-                beta[:, a + d - b : b] = behind[:, own[d - b : b - a]]
-            norm = np.einsum("st,st->t", alpha, beta)
-            emit *= beta
-            emit /= norm
-            beta *= alpha
-            beta /= norm
+            alpha = np.empty_like(emit)
+            now = before[:, own]
+            for time, (a, b) in enumerate(zip(offsets[:-1], offsets[1:], strict=True)):
+                now = np.multiply(step @ now[:, : b - a] if time else now, emit[:, a:b], out=alpha[:, a:b])
+                if not time % SCALED:
+                    scale = now.sum(axis=0)
+                    now /= scale
+                    emit[:, a:b] /= scale
+            ends = alpha[:, offsets[self.size[own] - 1] + np.arange(len(own))]
+            last[:, own] = ends / ends.sum(axis=0)
+            beta = behind[:, own]
+            beta /= (ends * beta).sum(axis=0)
+            later = np.zeros((states, 0))
+            for time in range(len(offsets) - 2, -1, -1):
+                a, b = offsets[time], offsets[time + 1]
+                beta[:, : later.shape[1]] = m.move @ later
+                later = emit[:, a:b] * beta[:, : b - a]
+                if time:
+                    c = offsets[time - 1]
+                    moves += alpha[:, c : c + b - a] @ later.T
+                alpha[:, a:b] *= beta[:, : b - a]
             for s in range(states):
-                emitted[:, s] += np.bincount(symbols, beta[s], size)
-            later = np.arange(offsets[1], offsets[-1])
-            time = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[later]
-            moves += alpha[:, later - offsets[time] + offsets[time - 1]] @ emit[:, later].T
+                emitted[s] += np.bincount(symbols, alpha[s], size)
             heads = self.place[own] == 0
-            start += beta[:, : offsets[1]][:, heads].sum(axis=1)
+            start += alpha[:, : len(own)][:, heads].sum(axis=1)
             seams.append(own[~heads])
-            weights.append(emit[:, : offsets[1]][:, ~heads])
+            weights.append(later[:, ~heads])
         moves += last[:, np.concatenate(seams) - 1] @ np.concatenate(weights, axis=1).T
-        return start, m.move * moves, emitted
+        return start, m.move * moves, emitted.T
 
 
 def _unpacked(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
