@@ -109,9 +109,16 @@ def merged_stage(stages: list[tuple[str, int]], at: int, status: str, progress:
 
 
 def overall(stages: list[tuple[str, int]], weights: list[int]) -> int:
-    """Weighted share of the stages, rounded half to even."""
+    """Weighted share of the stages, rounded half to even.
+
+    Doubles are added one by one in order of the stages, as SQL adds them: sum() makes up for what rounding loses, and so
+    falls on another side of a half at times.
+    """
     shares = [1.0 if s in DONE else max(0.0, min(1.0, p / 100)) if s in ("active", "failed", "canceled") else 0.0 for s, p in stages]
-    return round(sum(w * x for w, x in zip(weights, shares, strict=True)))
+    total = 0.0
+    for w, x in zip(weights, shares, strict=True):
+        total += w * x
+    return round(total)
 
 
 def progress(events: DataFrame, graph: dict[str, int] | None = None) -> DataFrame:
