@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import bisect
+from collections.abc import Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from courtlight.functions import court
 
+from . import folds
+
 ORDER = ["t_ms", "frame_index"]
 
 
@@ -96,23 +99,35 @@ def ewma(points: DataFrame, alpha: float = 0.45, max_fps: float = 30.0) -> DataF
 def suppressed(points: DataFrame, min_gap_ms: float) -> DataFrame:
     """Greedy suppression in time: the most confident first, each kept if no kept one of its track is within the gap.
 
-    Ties go to the earlier point. A track is cut wherever its points are at least the gap apart, as what stands on
-    either side can't suppress the other; each part is decided by a task of its own.
+    Ties go to the earlier point; a value that is no number comes first, a null one last. Points without a time stay and
+    suppress nothing. A track is cut wherever its points are at least the gap apart, as what stands on either side can't
+    suppress the other; a task reads the parts of its tracks one behind the other and holds one at a time.
     """
     part = F.sum(F.when(F.col("step") >= min_gap_ms, 1).otherwise(0)).over(by_track())
-    cut = points.withColumn("step", F.col("t_ms") - F.lag("t_ms").over(by_track())).withColumn("part", part)
-
-    def keep(rows: pd.DataFrame) -> pd.DataFrame:
-        ordered = rows.sort_values(["value", "t_ms", "frame_index"], ascending=[False, True, True])
-        held: list[int] = []
-        kept = []
-        for t in ordered["t_ms"].tolist():
-            at = bisect.bisect_left(held, t)
-            near = (at > 0 and t - held[at - 1] < min_gap_ms) or (at < len(held) and held[at] - t < min_gap_ms)
-            kept.append(not near)
-            if not near:
-                held.insert(at, t)
-        return ordered[kept][["track_id", "frame_index", "t_ms"]]
+    own = points.select("track_id", *ORDER, F.col("value").cast("double").alias("value")).repartition("track_id")
+    cut = own.withColumn("step", F.col("t_ms") - F.lag("t_ms").over(by_track())).withColumn("part", part)
+
+    def kept(t: list, value: list) -> list[bool]:
+        """Which points of a part stay; they come in order of time, so equal values keep that order."""
+        rank = lambda i: (2,) if value[i] is None else (0,) if value[i] != value[i] else (1, -value[i])
+        held: list = []
+        stays = [True] * len(t)
+        for i in sorted((i for i in range(len(t)) if t[i] is not None), key=rank):
+            at = bisect.bisect_left(held, t[i])
+            if (at and t[i] - held[at - 1] < min_gap_ms) or (at < len(held) and held[at] - t[i] < min_gap_ms):
+                stays[i] = False
+            else:
+                held.insert(at, t[i])
+        return stays
+
+    def keep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in folds.whole_groups(batches, ["track_id", "part"]):
+            t, value = batch["t_ms"].to_pylist(), batch["value"].to_pylist()
+            stays: list[bool] = []
+            for a, b in folds.bounds(batch, ["track_id", "part"]):
+                stays += [True] if b == a + 1 else kept(t[a:b], value[a:b])
+            yield batch.select(["track_id", "frame_index", "t_ms"]).filter(pa.array(stays, pa.bool_()))
 
     kinds = dict(points.select("track_id", "frame_index", "t_ms").dtypes)
-    return cut.select("track_id", "part", "frame_index", "t_ms", "value").groupBy("track_id", "part").applyInPandas(keep, ", ".join(f"{k} {v}" for k, v in kinds.items()))
+    in_order = cut.select("track_id", "part", *ORDER, "value").sortWithinPartitions("track_id", *ORDER)
+    return in_order.mapInArrow(keep, ", ".join(f"{k} {v}" for k, v in kinds.items()))
