@@ -38,10 +38,11 @@ def recovery_episodes(guidance: DataFrame, observations: DataFrame) -> DataFrame
     )
     closers = hits.select("run", "tick", "view", "hit.about", "hit.rank", "t_ms").filter("rank IS NOT NULL AND about IS NOT NULL AND view IS NOT NULL")
     closers = closers.groupBy("run", "view", "about", "tick").agg(F.min(F.struct("rank", "t_ms")).alias("c")).select("run", "view", "about", "tick", F.struct("tick", "c.rank", "c.t_ms").alias("close"))
-    # the first closer at or behind each episode's first tick: both in one order, read from behind
+    # the first closer at or behind each episode's first tick: both in one order from behind, the last one read so far
     asked = first.select("run", F.col("target").alias("view"), F.col("player").alias("about"), "tick", "episode", F.lit(None).cast(closers.schema["close"].dataType).alias("close"))
     line = closers.withColumn("episode", F.lit(None).cast(asked.schema["episode"].dataType)).unionByName(asked)
-    ahead = F.first("close", ignorenulls=True).over(W.partitionBy("run", "view", "about").orderBy("tick", F.col("episode").isNull()).rowsBetween(W.currentRow, W.unboundedFollowing))
+    from_behind = W.partitionBy("run", "view", "about").orderBy(F.col("tick").desc(), F.col("episode").isNull().desc())
+    ahead = F.last("close", ignorenulls=True).over(from_behind.rowsBetween(W.unboundedPreceding, W.currentRow))
     closed = line.withColumn("closed", F.when(F.col("view").isNotNull() & F.col("about").isNotNull(), ahead)).filter("episode IS NOT NULL").select(F.col("run").alias("__run"), F.col("episode").alias("__episode"), "closed")
     rows = own.join(closed, F.col("run").eqNullSafe(F.col("__run")) & (F.col("episode") == F.col("__episode")))
     nth = F.row_number().over(W.partitionBy("run", "episode", "tick").orderBy("seq"))
