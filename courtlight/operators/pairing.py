@@ -33,7 +33,8 @@ def plan(reference: DataFrame, secondary: DataFrame, clocks: DataFrame, toleranc
     media = frames.groupBy(F.col("take").alias("__take")).agg(F.min("t").alias("from_t"), F.max("t").alias("to_t"))
     own = frame_times(reference).join(clocks.withColumnRenamed("take", "__clock"), F.col("take") == F.col("__clock"), "left").join(media, F.col("take") == F.col("__take"), "left").drop("__take")
     own = own.withColumn("mapped", F.col("offset") + F.col("rate") * F.col("t"))
-    found = own.select(F.col("take").alias("key"), F.coalesce("mapped", F.lit(0.0)).alias("t_ms"), "frame", "t", "mapped", "valid_from", "valid_to", "from_t", "to_t")
+    # a frame without a place on the other clock is unavailable whatever is near: its own time spreads those over ranges
+    found = own.select(F.col("take").alias("key"), F.coalesce("mapped", "t").alias("t_ms"), "frame", "t", "mapped", "valid_from", "valid_to", "from_t", "to_t")
     candidates = frames.select(F.col("take").alias("key"), F.col("t").alias("t_ms"), F.col("frame").alias("seq"), F.struct("frame", "t").alias("value"))
     found = grid.aligned(found, {"near": (candidates, float("inf"))}, width)
     error = F.col("near.t") - F.col("mapped")
