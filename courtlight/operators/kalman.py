@@ -8,10 +8,12 @@ tasks' work.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -21,23 +23,6 @@ WIDTH_MS = 60_000
 LEAST_VARIANCE = 1e-6
 
 
-def _motion(dt: float, noise: float) -> tuple[np.ndarray, np.ndarray]:
-    """How place and velocity move on in dt, and the covariance that this adds; both axes move alike."""
-    return np.array([[1.0, dt], [0.0, 1.0]]), noise * np.array([[dt**4 / 4, dt**3 / 2], [dt**3 / 2, dt**2]])
-
-
-def _measured(p: np.ndarray, noise: float) -> tuple[np.ndarray, np.ndarray]:
-    """The gain of a measured place, and the covariance behind it."""
-    gain = p[:, 0] / (p[0, 0] + noise)
-    return gain, p - np.outer(gain, p[0])
-
-
-def _seconds(group: pd.DataFrame) -> np.ndarray:
-    """Seconds between a point and the one before; negative ones count as none, as do those since a point at time zero."""
-    t, before = group["t_ms"].to_numpy() / 1000.0, group["before_ms"].to_numpy(dtype=float) / 1000.0
-    return np.where(np.isnan(before) | (before == 0), 0.0, np.maximum(t - before, 0.0))
-
-
 def _before(m: np.ndarray, p: np.ndarray, e: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
     """State and covariance behind an element from those before it."""
     a, b, c, told, weight = e
@@ -45,43 +30,56 @@ def _before(m: np.ndarray, p: np.ndarray, e: tuple[np.ndarray, ...]) -> tuple[np
     return through @ (m + p @ told) + b, through @ p @ a.T + c
 
 
-def _element(dt: np.ndarray, begins: np.ndarray, z: np.ndarray, q: float, r: float) -> np.ndarray:
-    """What a chunk does to the state (2 x axes) before it: a, b, c, told, weight, in one row of numbers.
+class _Chunk:
+    """The plain recursion over points, in single numbers: an axis has place and velocity, both axes have one covariance.
+
+    With `summed`, also what the points do to the state (2 x axes) before them. Begun from no state and no covariance, the
+    recursion gives b and c; a moves on with the gains, told and weight with the innovations.
+    """
 
-    Behind the chunk the state is a(I + p weight)^-1 (m + p told) + b, the covariance a(I + p weight)^-1 p a' + c.
+    def __init__(self, q: float, r: float, state: list[float] | None = None, summed: bool = False):
+        self.q, self.r, self.summed = q, r, summed
+        self.x, self.y, self.vx, self.vy, self.p00, self.p01, _, self.p11 = state or [0.0] * 8
+        self.a = [1.0, 0.0, 0.0, 1.0]
+        self.told, self.weight = [0.0] * 4, [0.0] * 4
+
+    def begin(self, zx: float, zy: float) -> None:
+        """A track's first point: as it is, at rest, whatever was before."""
+        self.x, self.y, self.vx, self.vy, self.p00, self.p01, self.p11 = zx, zy, 0.0, 0.0, 1.0, 0.0, 1.0
+        self.a, self.told, self.weight = [0.0] * 4, [0.0] * 4, [0.0] * 4
+
+    def step(self, dt: float, zx: float, zy: float) -> None:
+        x, y = self.x + dt * self.vx, self.y + dt * self.vy
+        p00 = self.p00 + 2 * dt * self.p01 + dt * dt * self.p11 + self.q * dt**4 / 4
+        p01 = self.p01 + dt * self.p11 + self.q * dt**3 / 2
+        p11 = self.p11 + self.q * (dt * dt)
+        scale = p00 + self.r
+        k0, k1 = p00 / scale, p01 / scale
+        ex, ey = zx - x, zy - y
+        if self.summed:
+            a00, a01, a10, a11 = self.a
+            h0, h1 = a00 + dt * a10, a01 + dt * a11
+            self.a = [h0 - k0 * h0, h1 - k0 * h1, a10 - k1 * h0, a11 - k1 * h1]
+            t, w = self.told, self.weight
+            self.told = [t[0] + h0 * ex / scale, t[1] + h0 * ey / scale, t[2] + h1 * ex / scale, t[3] + h1 * ey / scale]
+            self.weight = [w[0] + h0 * h0 / scale, w[1] + h0 * h1 / scale, w[2] + h0 * h1 / scale, w[3] + h1 * h1 / scale]
+        self.x, self.y = x + k0 * ex, y + k0 * ey
+        self.vx, self.vy = self.vx + k1 * ex, self.vy + k1 * ey
+        self.p00, self.p01, self.p11 = p00 - k0 * p00, p01 - k0 * p01, p11 - k1 * p01
+
+    def element(self) -> list[float]:
+        """a, b, c, told, weight. Behind the chunk the state is a(I + p weight)^-1 (m + p told) + b, the covariance a(I + p weight)^-1 p a' + c."""
+        return [*self.a, self.x, self.y, self.vx, self.vy, self.p00, self.p01, self.p01, self.p11, *self.told, *self.weight]
+
+
+def _steps(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """place, whether a track begins, seconds since the point before, x and y of a batch's rows.
+
+    Times that don't rise are no time apart, nor is what follows a point at time zero.
     """
-    a, b, c = np.eye(2), np.zeros((2, 2)), np.zeros((2, 2))
-    told, weight = np.zeros((2, 2)), np.zeros((2, 2))
-    for d, new, at in zip(dt, begins, z, strict=True):
-        if new:
-            a, b, c = np.zeros((2, 2)), np.array([at, [0.0, 0.0]]), np.eye(2)
-            told, weight = np.zeros((2, 2)), np.zeros((2, 2))
-            continue
-        f, added = _motion(d, q)
-        gain, c2 = _measured(added, r)
-        a2, b2 = f - np.outer(gain, f[0]), np.outer(gain, at)
-        scale = added[0, 0] + r
-        told2, weight2 = np.outer(f[0], at) / scale, np.outer(f[0], f[0]) / scale
-        mixed = np.linalg.inv(np.eye(2) + c @ weight2)
-        back = a.T @ mixed.T
-        told, weight = back @ (told2 - weight2 @ b) + told, back @ weight2 @ a + weight
-        a, b, c = a2 @ mixed @ a, a2 @ mixed @ (b + c @ told2) + b2, a2 @ mixed @ c @ a2.T + c2
-    return np.concatenate([x.ravel() for x in (a, b, c, told, weight)])
-
-
-def _run(p: np.ndarray, state: np.ndarray, dt: np.ndarray, begins: np.ndarray, z: np.ndarray, q: float, r: float) -> tuple[np.ndarray, np.ndarray]:
-    """Filtered states and covariances of a chunk's points, by the plain recursion."""
-    states, spreads = np.empty((len(dt), 2, 2)), np.empty((len(dt), 2, 2))
-    for i, (d, new, at) in enumerate(zip(dt, begins, z, strict=True)):
-        if new:
-            p, state = np.eye(2), np.array([at, [0.0, 0.0]])
-        else:
-            f, added = _motion(d, q)
-            gain, p = _measured(f @ p @ f.T + added, r)
-            state = f @ state
-            state = state + np.outer(gain, at - state[0])
-        states[i], spreads[i] = state, p
-    return states, spreads
+    columns = (batch[c].to_pylist() for c in ("place", "t_ms", "before_ms", "x", "y"))
+    for place, t, before, x, y in zip(*columns, strict=True):
+        yield place, before is None, max(t / 1000 - before / 1000, 0.0) if before else 0.0, x, y
 
 
 def filtered(points: DataFrame, process: float = 1.0, measurement: float = 1.0, width: int = WIDTH_MS) -> DataFrame:
@@ -97,20 +95,32 @@ def filtered(points: DataFrame, process: float = 1.0, measurement: float = 1.0,
     # the point before, in the chunk or else the last one of the chunks before
     inside = W.partitionBy("track", "chunk").orderBy("t_ms", "seq", "x", "y")
     ends = good.groupBy("track", "chunk").agg(F.max("t_ms").alias("last_ms"))
-    ends = ends.withColumn("came_ms", F.lag("last_ms").over(W.partitionBy("track").orderBy("chunk"))).withColumnsRenamed({"track": "__track", "chunk": "__chunk"})
+    ends = ends.withColumn("came_ms", F.lag("last_ms").over(W.partitionBy("track").orderBy("chunk"))).withColumn("last", F.lead("chunk").over(W.partitionBy("track").orderBy("chunk")).isNull()).withColumnsRenamed({"track": "__track", "chunk": "__chunk"})
     same = F.col("track").eqNullSafe(F.col("__track")) & (F.col("chunk") == F.col("__chunk"))
     own = good.join(ends, same).withColumn("place", F.row_number().over(inside)).withColumn("before_ms", F.coalesce(F.lag("t_ms").over(inside), "came_ms")).drop("__track", "__chunk", "last_ms", "came_ms")
     kind = good.schema["track"].dataType.simpleString()
     key = f"track {kind}, chunk long"
 
-    def ordered(group: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, np.ndarray]:
-        group = group.sort_values("place")
-        return group, _seconds(group), group["before_ms"].isna().to_numpy()
-
-    def summed(group: pd.DataFrame) -> pd.DataFrame:
-        group, dt, begins = ordered(group)
-        element = _element(dt, begins, group[["x", "y"]].to_numpy(), process, measurement)
-        return pd.DataFrame({"track": group["track"].iloc[:1].array, "chunk": group["chunk"].iloc[:1].array, "element": [element]})
+    def summed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """What each chunk does, but for the last of a track, behind which no chunk asks."""
+        name, chunk = None, None
+        for batch in batches:
+            out: list[tuple] = []
+            for track, number, last, (place, begins, dt, x, y) in zip(batch["track"].to_pylist(), batch["chunk"].to_pylist(), batch["last"].to_pylist(), _steps(batch), strict=True):
+                if place == 1:
+                    if name:
+                        out.append((*name, chunk and chunk.element()))
+                    name, chunk = (track, number), None if last else _Chunk(process, measurement, summed=True)
+                if chunk:
+                    chunk.begin(x, y) if begins else chunk.step(dt, x, y)
+            if out:
+                yield elements(out, batch.schema)
+        if name:
+            yield elements([(*name, chunk and chunk.element())], batch.schema)
+
+    def elements(rows: list[tuple], kinds: pa.Schema) -> pa.RecordBatch:
+        track, chunk, element = zip(*rows, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(track, kinds.field("track").type), pa.array(chunk, pa.int64()), pa.array(element, pa.list_(pa.float64()))], ["track", "chunk", "element"])
 
     def carry(groups: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """State and covariance before each chunk, over the chunks of a track in order."""
@@ -122,18 +132,27 @@ def filtered(points: DataFrame, process: float = 1.0, measurement: float = 1.0,
                 if track != last:
                     last, m, p = track, np.zeros((2, 2)), np.eye(2)
                 before.append(np.concatenate([m.ravel(), p.ravel()]))
-                m, p = _before(m, p, tuple(np.asarray(element).reshape(5, 2, 2)))
+                if element is not None:
+                    m, p = _before(m, p, tuple(np.asarray(element).reshape(5, 2, 2)))
             yield rows[["track", "chunk"]].assign(before=before)
 
-    def run(key: tuple, group: pd.DataFrame, carried: pd.DataFrame) -> pd.DataFrame:
-        group, dt, begins = ordered(group)
-        s, p = np.asarray(carried["before"].iloc[0]).reshape(2, 2, 2)
-        found, spreads = _run(p, s, dt, begins, group[["x", "y"]].to_numpy(), process, measurement)
-        out = group[["track", "t_ms", "seq"]].assign(x=found[:, 0, 0], y=found[:, 0, 1], vx=found[:, 1, 0], vy=found[:, 1, 1])
-        return out.assign(radius=np.sqrt(np.maximum(spreads[:, 0, 0], LEAST_VARIANCE)))
-
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk = _Chunk(process, measurement)
+        for batch in batches:
+            found = []
+            for carried, (place, begins, dt, x, y) in zip(batch["before"].to_pylist(), _steps(batch), strict=True):
+                if place == 1:
+                    chunk = _Chunk(process, measurement, carried)
+                chunk.begin(x, y) if begins else chunk.step(dt, x, y)
+                found.append((chunk.x, chunk.y, chunk.vx, chunk.vy, math.sqrt(max(chunk.p00, LEAST_VARIANCE))))
+            if found:
+                yield pa.RecordBatch.from_arrays([batch["track"], batch["t_ms"], batch["seq"], *[pa.array(c, pa.float64()) for c in zip(*found, strict=True)]], ["track", "t_ms", "seq", "x", "y", "vx", "vy", "radius"])
+
+    # a task reads its chunks one behind the other, each from its first point on; that one brings what was before
+    dealt = lambda df: df.repartition("track", "chunk").sortWithinPartitions("track", "chunk", "place")
     in_order = [F.col("track").asc_nulls_first(), "chunk"]
-    sums = own.groupBy("track", "chunk").applyInPandas(summed, f"{key}, element array<double>")
-    carried = sums.repartition("track").sortWithinPartitions(*in_order).mapInPandas(carry, f"{key}, before array<double>")
+    sums = dealt(own).mapInArrow(summed, f"{key}, element array<double>")
+    carried = sums.repartition("track").sortWithinPartitions(*in_order).mapInPandas(carry, f"{key}, before array<double>").withColumnsRenamed({"track": "__track", "chunk": "__chunk"})
+    first = own.join(carried, same & (F.col("place") == 1), "left").drop("__track", "__chunk")
     seq = good.schema["seq"].dataType.simpleString()
-    return own.groupBy("track", "chunk").cogroup(carried.groupBy("track", "chunk")).applyInPandas(run, f"track {kind}, t_ms long, seq {seq}, x double, y double, vx double, vy double, radius double")
+    return dealt(first).mapInArrow(run, f"track {kind}, t_ms {good.schema['t_ms'].dataType.simpleString()}, seq {seq}, x double, y double, vx double, vy double, radius double")
